@@ -20,29 +20,28 @@ def has(mask: Column, *concepts: str) -> Column:
     return mask.bitwiseAND(F.lit(bits(*concepts)).cast("bigint")) != 0
 
 
-def raw_mask(padded: Column, lexicon: Lexicon) -> Column:
-    out = F.lit(0).cast("bigint")
-    for concept in vocab.CONCEPTS:
-        pattern = lexicon.pattern(concept)
-        if pattern:
-            hit = F.when(padded.rlike(pattern), F.lit(bit(concept)).cast("bigint"))
-            out = out.bitwiseOR(F.coalesce(hit, F.lit(0).cast("bigint")))
-    return out
+def sql_has(column: str, *concepts: str) -> str:
+    """The same test as SQL text, for conditions written as SQL."""
+    return f"({column} & {bits(*concepts)}L) <> 0"
 
 
-def resolve_overlaps(mask: Column, padded: Column, lexicon: Lexicon) -> Column:
-    """Keep the most specific concept when several fire on the same words."""
+def mask_sql(padded: str, lexicon: Lexicon) -> str:
+    """Concept set of one clause: every concept whose pattern occurs, then overlaps resolved.
 
-    def hide(when: Column, concept: str) -> Column:
-        return F.when(when, F.lit(bit(concept))).otherwise(F.lit(0)).cast("bigint")
-
-    otp = has(mask, "TARGET_OTP")
+    A one-time code hides the generic code and, in the fixed wording, the password;
+    a full card number hides the partial one.
+    """
+    found = " | ".join(
+        f"IF({padded} RLIKE '{lexicon.pattern(c)}', {bit(c)}L, 0L)"
+        for c in vocab.CONCEPTS if lexicon.pattern(c)
+    ) or "0L"
+    otp = sql_has("m", "TARGET_OTP")
     hidden = (
-        hide(otp, "TARGET_CODE_GENERIC")
-        .bitwiseOR(hide(has(mask, "TARGET_CARD_FULL"), "TARGET_CARD_PARTIAL"))
-        .bitwiseOR(hide(otp & padded.contains(lexicon.otp_password_phrase), "TARGET_PASSWORD"))
+        f"IF({otp}, {bit('TARGET_CODE_GENERIC')}L, 0L)"
+        f" | IF({sql_has('m', 'TARGET_CARD_FULL')}, {bit('TARGET_CARD_PARTIAL')}L, 0L)"
+        f" | IF({otp} AND contains({padded}, '{lexicon.otp_password_phrase}'), {bit('TARGET_PASSWORD')}L, 0L)"
     )
-    return mask.bitwiseAND(F.bitwise_not(hidden))
+    return f"transform(array({found}), m -> m & ~({hidden}))[0]"
 
 
 def position(seq: Column, clause_ix: Column) -> Column:
@@ -61,14 +60,13 @@ def clauses(segments: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.Act
         "call_id", "seq", "speaker", "start", T.split_clauses(F.col("text"), conjunctions).alias("_p")
     )
     base = base.withColumn("_h", F.transform("_p", lambda p: T.pad(T.canon(p))))
-    base = base.withColumn("_m", F.transform("_h", lambda h: raw_mask(h, lexicon)))
     base = base.withColumns({
-        "_m": F.zip_with("_m", "_h", lambda m, h: resolve_overlaps(m, h, lexicon)),
-        "_a": F.zip_with("_h", "_p", lambda h, p: T.speech_act(h, p, markers)),
+        "_m": F.expr(f"transform(_h, h -> {mask_sql('h', lexicon)})"),
+        "_a": F.expr(f"zip_with(_h, _p, (h, p) -> {T.act_sql('h', 'p', markers)})"),
     })
 
     def first(*concepts: str) -> Column:
-        return F.array_position(F.transform("_m", lambda m: has(m, *concepts)), True)
+        return F.expr(f"array_position(transform(_m, m -> {sql_has('m', *concepts)}), true)")
 
     base = base.withColumns({
         "_otp": first("TARGET_OTP"),
@@ -96,18 +94,13 @@ def matched_stems(clause_rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per (clause, concept) with the first stem of the list that matched."""
     hits = []
     for concept, group in lexicon.stems.items():
-        stem = F.coalesce(*[
-            F.when(F.col("padded").rlike(f" {pattern}"), F.lit(name)) for name, pattern in group
-        ])
-        hits.append(F.when(
-            has(F.col("mask"), concept),
-            F.struct(F.lit(concept).alias("concept"), stem.alias("stem")),
-        ))
-    return clause_rows.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(
-        "call_id", "seq", "clause_ix", "_hit.concept", "_hit.stem"
-    )
+        arms = " ".join(f"WHEN padded RLIKE ' {pattern}' THEN '{name}'" for name, pattern in group)
+        hits.append(f"IF({sql_has('mask', concept)}, named_struct('concept', '{concept}', 'stem', CASE {arms} END), NULL)")
+    return clause_rows.select(
+        "call_id", "seq", "clause_ix", F.expr(f"inline(array_compact(array({', '.join(hits)})))"))
 
 
-def concept_names(mask: Column) -> Column:
+def concept_names(mask: str = "mask") -> Column:
     """Set as an array of names, in vocabulary order."""
-    return F.array_compact(F.array(*[F.when(has(mask, c), F.lit(c)) for c in vocab.CONCEPTS]))
+    return F.expr("array_compact(array(" + ", ".join(
+        f"IF({sql_has(mask, c)}, '{c}', NULL)" for c in vocab.CONCEPTS) + "))")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from callward import vocab
 from callward.functions import text as T
 from callward.operators.prefix import running
-from callward.operators.score import lookup
-from callward.operators.verdict import ACTION_TEXT, RECOMMENDED_ACTION
+from callward.operators.verdict import ACTION_TEXT, RECOMMENDED_ACTION, lookup
 
 SPLITS = ("train", "validation", "test")
 
@@ -70,7 +69,7 @@ def gold_rollup(annotations: DataFrame, stages: DataFrame, calls: DataFrame) ->
     is_scam = F.col("gold_class") == "SCAM"
     first = annotations.groupBy("call_id", "category").agg(F.min(F.struct("seq", "ord")).alias("at"))
     cats = first.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("at", "category"))).alias("c"))
-    depth = lookup(F.col("stage"), vocab.STAGE_DEPTH, 0)
+    depth = F.expr(lookup("stage", vocab.STAGE_DEPTH, "0"))
     claims = (F.col("stage") == "IDENTITY_CLAIM") & (F.col("speaker") == "CALLER")
     staged = stages.groupBy("call_id").agg(
         F.max(depth).alias("_depth"), F.min(F.when(claims, F.col("seq"))).alias("identity_seq"))
@@ -80,7 +79,7 @@ def gold_rollup(annotations: DataFrame, stages: DataFrame, calls: DataFrame) ->
         is_scam & F.col("identity_seq").isNotNull(), F.array_append(names, F.lit("IMPERSONATION"))).otherwise(names)
 
     def mapped(table: dict[str, str]) -> Column:
-        return F.array_distinct(F.array_compact(F.transform("categories", lambda c: lookup(c, table))))
+        return F.expr(f"array_distinct(array_compact(transform(categories, c -> {lookup('c', table)})))")
 
     df = df.withColumn("categories", F.array_distinct(with_identity))
     tactics = mapped(vocab.CATEGORY_TACTIC)
@@ -92,10 +91,10 @@ def gold_rollup(annotations: DataFrame, stages: DataFrame, calls: DataFrame) ->
         "scam_types", "categories",
         F.when(authority & ~F.array_contains(tactics, "AUTHORITY"), F.array_append(tactics, F.lit("AUTHORITY")))
         .otherwise(tactics).alias("tactics"),
-        lookup(F.coalesce("_depth", F.lit(0)), {d: s for s, d in vocab.STAGE_DEPTH.items()}).alias("stage"),
+        F.expr(lookup("coalesce(_depth, 0)", {d: s for s, d in vocab.STAGE_DEPTH.items()})).alias("stage"),
         mapped(ACTION_TEXT).alias("requested_actions"),
         "identity_seq",
-        lookup(F.col("gold_class"), RECOMMENDED_ACTION).alias("recommended_action"),
+        F.expr(lookup("gold_class", RECOMMENDED_ACTION)).alias("recommended_action"),
     )
 
 

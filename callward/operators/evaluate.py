@@ -126,7 +126,7 @@ def best_threshold(sweep: DataFrame, max_fpr: float = 0.05) -> DataFrame:
 
 def band_distribution(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """Calls per band and class, with empty cells."""
-    counts = _histogram(rows).withColumn("level", band(F.col("risk_score"))).groupBy("level").agg(
+    counts = _histogram(rows).withColumn("level", band("risk_score")).groupBy("level").agg(
         F.sum(F.when(F.col("is_scam"), F.col("c"))).alias("scam"),
         F.sum(F.when(~F.col("is_scam"), F.col("c"))).alias("legitimate"))
     return bands.select("lo", "level").join(counts, "level", "left").fillna(0, ["scam", "legitimate"])

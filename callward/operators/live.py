@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from callward import vocab
 from callward.functions import text as T
 from callward.operators.prefix import BLOCK, blocks_of, running
-from callward.operators.score import band, lookup
+from callward.operators.score import band
+from callward.operators.verdict import lookup
 
 
 def updates(segments: DataFrame, step: int = 1, window: int = vocab.CONTEXT_WINDOW) -> DataFrame:
@@ -46,7 +47,7 @@ def _over_updates(df: DataFrame, values: dict, inclusive: bool, block: int = BLO
 def hold_peak(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Peak score so far and its band: a past attack does not un-happen."""
     out = _over_updates(df, {"peak": ("max", F.col("risk_score"))}, True, block)
-    return out.withColumn("peak_level", band(F.col("peak")))
+    return out.withColumn("peak_level", band("peak"))
 
 
 def fresh_events(events: DataFrame) -> DataFrame:
@@ -78,14 +79,14 @@ def accumulate_labels(df: DataFrame, labels: str) -> DataFrame:
     ).drop("seen")
 
 
-def stage_depth(stage: Column) -> Column:
-    return lookup(stage, vocab.STAGE_DEPTH, 0)
+def stage_depth(stage: str = "stage") -> Column:
+    return F.expr(lookup(stage, vocab.STAGE_DEPTH, "0"))
 
 
 def deepest_stage(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    out = _over_updates(df.withColumn("_d", stage_depth(F.col("stage"))), {"_deep": ("max", F.col("_d"))}, True, block)
+    out = _over_updates(df.withColumn("_d", stage_depth()), {"_deep": ("max", F.col("_d"))}, True, block)
     return out.withColumn(
-        "deepest_stage", lookup(F.col("_deep"), {d: s for s, d in vocab.STAGE_DEPTH.items()}, "UNKNOWN")
+        "deepest_stage", F.expr(lookup("_deep", {d: s for s, d in vocab.STAGE_DEPTH.items()}))
     ).drop("_d", "_deep")
 
 
@@ -94,7 +95,7 @@ def stage_timeline(df: DataFrame, block: int = BLOCK) -> DataFrame:
     entered = _over_updates(df, {"_before": ("last", F.col("stage"))}, False, block)
     entered = entered.filter(F.col("_before").isNull() | (F.col("_before") != F.col("stage"))).drop("_before")
     deep = _over_updates(
-        entered.withColumn("depth", stage_depth(F.col("stage"))), {"_max": ("max", F.col("depth"))}, False, block)
+        entered.withColumn("depth", stage_depth()), {"_max": ("max", F.col("depth"))}, False, block)
     return deep.filter(F.col("_max").isNull() | (F.col("depth") >= F.col("_max"))).drop("_max")
 
 
@@ -155,7 +156,7 @@ def alert_stream(df: DataFrame, fresh: DataFrame, one_per_update: bool = False,
     names = {v: k for k, v in vocab.ALERT_ORDER.items()}
     by_score = held.filter(
         F.col("_crit").isNull() & (F.col("_rank") > F.coalesce("_highest", F.lit(0)))
-    ).select("call_id", "upd", lookup(F.col("_rank"), names).alias("level"),
+    ).select("call_id", "upd", F.expr(lookup("_rank", names)).alias("level"),
              F.lit("risk_score").alias("triggered_by"), "risk_score")
     by_event = crit.join(df.select("call_id", "upd", "risk_score"), ["call_id", "upd"]).select(
         "call_id", "upd", F.lit("CRITICAL").alias("level"), F.col("category").alias("triggered_by"), "risk_score")

@@ -150,7 +150,7 @@ def event_badges(segments: DataFrame, events: DataFrame) -> DataFrame:
     """
     marks = events.groupBy("call_id", F.col("segment_index").alias("seq"), "category", "severity").count()
     lists = marks.groupBy("call_id", "seq").agg(F.array_sort(F.collect_list(
-        F.struct((-severity_rank(F.col("severity"))).alias("r"), "category", "severity"))).alias("b"))
+        F.struct((-severity_rank()).alias("r"), "category", "severity"))).alias("b"))
     return segments.join(lists, ["call_id", "seq"], "left").withColumn("badges", F.coalesce(
         F.transform("b", lambda x: F.concat_ws(":", x["severity"], x["category"])), F.array().cast("array<string>"))).drop("b")
 

@@ -1 +1 @@
-
+"""Queries over the shared test tables, each with an independent SQL statement where SQL can say it."""
