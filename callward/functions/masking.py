@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callward import vocab
-from callward.functions.text import SPACE
+from callward.functions.text import SPACE, let
 
 DIGIT_RUN = rf"(?<!\p{{Nd}})(\p{{Nd}}[\p{{Nd}}{SPACE}-]{{1,22}}\p{{Nd}})(?!\p{{Nd}})"
 CUE = "(?iu)" + "|".join(vocab.CREDENTIAL_CUES)
@@ -21,10 +21,16 @@ LOOK_BACK, LOOK_AHEAD = 28, 14
 
 def mask_sensitive(text: Column) -> Column:
     """struct(text, labels): masked text and one label per masked number, in order."""
-    pieces = F.split(text, DIGIT_RUN, -1)
-    runs = F.regexp_extract_all(text, F.lit(DIGIT_RUN), F.lit(1))
+    cut = F.struct(
+        F.split(text, DIGIT_RUN, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(DIGIT_RUN), F.lit(1)).alias("runs"))
+    return let(cut, _fold)
+
+
+def _fold(cut: Column) -> Column:
+    pieces = cut["pieces"]
     steps = F.transform(
-        runs,
+        cut["runs"],
         lambda run, i: F.struct(
             run.alias("run"),
             F.get(pieces, i).alias("before"),

@@ -54,10 +54,14 @@ def clauses(segments: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.Act
     """segments(call_id, seq, speaker, start, text) -> one row per clause.
 
     `prior_*` tell whether an earlier clause of the utterance named a one-time
-    code, any credential, or said that nobody asks for one.
+    code, any credential, or said that nobody asks for one.  An utterance without
+    words keeps one empty clause.
     """
+    carried = [c for c in ("end", "confidence", "call_direction") if c in segments.columns]
+    parts = T.split_clauses(F.col("text"), conjunctions)
     base = segments.select(
-        "call_id", "seq", "speaker", "start", T.split_clauses(F.col("text"), conjunctions).alias("_p")
+        "call_id", "seq", "speaker", "start", *carried,
+        F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(""))).alias("_p"),
     )
     base = base.withColumn("_h", F.transform("_p", lambda p: T.pad(T.canon(p))))
     base = base.withColumns({
@@ -74,7 +78,7 @@ def clauses(segments: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.Act
         "_never": first("NEVER_ASKS"),
     })
     rows = base.select(
-        "call_id", "seq", "speaker", "start", "_otp", "_cred", "_never",
+        "call_id", "seq", "speaker", "start", *carried, "_otp", "_cred", "_never",
         F.posexplode(F.arrays_zip("_p", "_h", "_m", "_a")).alias("clause_ix", "_c"),
     )
 
@@ -83,7 +87,7 @@ def clauses(segments: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.Act
 
     return rows.select(
         "call_id", "seq", "clause_ix", position(F.col("seq"), F.col("clause_ix")).alias("pos"),
-        "speaker", "start", F.col("_c._p").alias("evidence"), F.col("_c._h").alias("padded"),
+        "speaker", "start", *carried, F.col("_c._p").alias("evidence"), F.col("_c._h").alias("padded"),
         F.col("_c._m").alias("mask"), F.col("_c._a").alias("act"),
         earlier("_otp").alias("prior_otp"), earlier("_cred").alias("prior_cred"),
         earlier("_never").alias("prior_never"),

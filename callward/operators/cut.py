@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session (`spark.checkpoint.dir`).
+    """Compute a shared table once.
 
-    Without such a folder the plan is returned as it is: results are the same,
-    the shared part is then evaluated once per consumer.
+    The session names a shared folder in `spark.checkpoint.dir`; the table is
+    checkpointed there and survives lost executors.  Only a local session without
+    the setting gets a folder of its own; elsewhere the table is kept in the block
+    manager, from where it can be recomputed.
     """
     spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and spark.sparkContext.getCheckpointDir() is None:
-        return df
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="callward-"))
     return df.checkpoint(eager=True)

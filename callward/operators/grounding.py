@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from callward import vocab
 from callward.functions import text as T
@@ -80,7 +81,7 @@ def contained(quotes: DataFrame, hays: DataFrame, pair_limit: int = PAIR_LIMIT)
         F.min("at.seq").alias("seq"))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(needle: pd.Series, hay: pd.Series) -> pd.Series:
     """Matching ratio of two canonical texts, or the share of the needle found in one piece.
 

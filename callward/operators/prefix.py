@@ -25,52 +25,50 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     Ops: sum, count, max, min, bit_or, last (previous row's value when exclusive),
     last_known (latest non-null value).  `order` must be unique within a group.
     """
+    kept = df.columns
     ordering = F.struct(*order)
-    df = df.withColumn("_blk", block)
-    for name, (op, value) in values.items():
-        df = df.withColumn(f"_v_{name}", F.lit(1).cast("bigint") if op == "count" else value)
+    df = df.select("*", block.alias("_blk"), *[
+        (F.lit(1).cast("bigint") if op == "count" else value).alias(f"_v_{name}")
+        for name, (op, value) in values.items()])
 
     def total(name: str, op: str) -> Column:
         v = F.col(f"_v_{name}")
-        known = {
-            "sum": F.sum(v), "count": F.sum(v), "max": F.max(v), "min": F.min(v),
-            "bit_or": F.bit_or(v), "last": F.max_by(v, ordering),
-            "last_known": F.max_by(v, F.when(v.isNotNull(), ordering)),
-        }
-        return known[op].alias(f"_t_{name}")
+        if op == "last":
+            return F.max_by(v, ordering)
+        if op == "last_known":
+            return F.max_by(v, F.when(v.isNotNull(), ordering))
+        return {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "bit_or": F.bit_or}[op](v)
 
-    totals = df.groupBy(*keys, "_blk").agg(*[total(n, op) for n, (op, _) in values.items()])
     across = Window.partitionBy(*keys).orderBy("_blk")
     past = across.rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(name: str, op: str) -> Column:
         t = F.col(f"_t_{name}")
-        known = {
-            "sum": lambda: F.sum(t).over(past), "count": lambda: F.sum(t).over(past),
-            "max": lambda: F.max(t).over(past), "min": lambda: F.min(t).over(past),
-            "bit_or": lambda: F.bit_or(t).over(past), "last": lambda: F.lag(t).over(across),
-            "last_known": lambda: F.last(t, ignorenulls=True).over(past),
-        }
-        return known[op]().alias(f"_c_{name}")
+        if op == "last":
+            return F.lag(t).over(across)
+        if op == "last_known":
+            return F.last(t, ignorenulls=True).over(past)
+        return {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "bit_or": F.bit_or}[op](t).over(past)
 
-    carry = totals.select(*keys, "_blk", *[carried(n, op) for n, (op, _) in values.items()])
+    totals = df.groupBy(*keys, "_blk").agg(*[total(n, op).alias(f"_t_{n}") for n, (op, _) in values.items()])
+    carry = totals.select(*keys, "_blk", *[carried(n, op).alias(f"_c_{n}") for n, (op, _) in values.items()])
     here = Window.partitionBy(*keys, "_blk").orderBy(*order)
     frame = here.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = df.join(carry, [*keys, "_blk"])
     zero = F.lit(0).cast("bigint")
-    for name, (op, _) in values.items():
+
+    def combined(name: str, op: str) -> Column:
         v, c = F.col(f"_v_{name}"), F.col(f"_c_{name}")
         if op in ("sum", "count"):
-            col = F.coalesce(F.sum(v).over(frame), F.lit(0)) + F.coalesce(c, F.lit(0))
-        elif op == "max":
-            col = F.greatest(F.max(v).over(frame), c)
-        elif op == "min":
-            col = F.least(F.min(v).over(frame), c)
-        elif op == "bit_or":
-            col = F.coalesce(F.bit_or(v).over(frame), zero).bitwiseOR(F.coalesce(c, zero))
-        elif op == "last":
-            col = v if inclusive else F.when(F.row_number().over(here) == 1, c).otherwise(F.lag(v).over(here))
-        else:
-            col = F.coalesce(F.last(v, ignorenulls=True).over(frame), c)
-        out = out.withColumn(name, col)
-    return out.drop("_blk", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
+            return F.coalesce(F.sum(v).over(frame), F.lit(0)) + F.coalesce(c, F.lit(0))
+        if op == "max":
+            return F.greatest(F.max(v).over(frame), c)
+        if op == "min":
+            return F.least(F.min(v).over(frame), c)
+        if op == "bit_or":
+            return F.coalesce(F.bit_or(v).over(frame), zero).bitwiseOR(F.coalesce(c, zero))
+        if op == "last":
+            return v if inclusive else F.when(F.row_number().over(here) == 1, c).otherwise(F.lag(v).over(here))
+        return F.coalesce(F.last(v, ignorenulls=True).over(frame), c)
+
+    return df.join(carry, [*keys, "_blk"]).select(
+        *kept, *[combined(n, op).alias(n) for n, (op, _) in values.items()])

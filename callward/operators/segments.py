@@ -33,8 +33,7 @@ def from_turns(turns: DataFrame, seconds_per_turn: float = 6.0, clean: bool = Tr
         "call_id", F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(_optional(turns, "speaker", "string"), F.lit("UNKNOWN")).alias("speaker"),
         T.strip(F.col("text")).alias("text_original"),
-        _optional(turns, "start", "double").alias("_start"),
-        _optional(turns, "end", "double").alias("_end"),
+        *[F.col(c).cast("double").alias(f"_{c}") for c in ("start", "end") if c in turns.columns],
         F.greatest(F.lit(0.0), F.least(
             F.lit(1.0), F.coalesce(_optional(turns, "confidence", "double"), F.lit(1.0)))).alias("confidence"),
         _optional(turns, "language", "string").alias("reported"),
@@ -61,24 +60,26 @@ def timeline(df: DataFrame, seconds_per_turn: float = 6.0, block: int = BLOCK) -
     anchor on, starts advance by the cadence of the rows in between.
     """
     d = speaking_time(F.col("text_original"))
-    df = df.withColumns({
-        "_d": d,
-        "_gap": F.greatest(F.lit(seconds_per_turn), d + 0.6),
-        "_next": F.col("_end") + F.greatest(seconds_per_turn - d, F.lit(0.6)),
-    })
     blk = blocks_of(F.col("turn"), block)
+    gap = F.greatest(F.lit(seconds_per_turn), d + 0.6)
+    kept = [c for c in df.columns if c not in ("_start", "_end")]
+    if "_start" not in df.columns and "_end" not in df.columns:
+        df = running(df, ["call_id"], ["turn"], blk, {"seq": ("count", F.lit(1)), "_elapsed": ("sum", gap)})
+        start = 1.5 + F.col("_elapsed")
+        return df.select(*kept, "seq", start.alias("start"), (start + d).alias("end"))
+    df = df.select(*kept, *[
+        F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("_start", "_end")])
     df = running(df, ["call_id"], ["turn"], blk, {
         "seq": ("count", F.lit(1)),
-        "_elapsed": ("sum", F.col("_gap")),
-        "_prev": ("last", F.col("_next")),
+        "_elapsed": ("sum", gap),
+        "_prev": ("last", F.col("_end") + F.greatest(seconds_per_turn - d, F.lit(0.6))),
     })
     anchor = F.coalesce(F.col("_start"), F.col("_prev"), F.when(F.col("seq") == 0, 1.5))
     df = running(df, ["call_id"], ["turn"], blk, {
         "_origin": ("last_known", anchor - F.col("_elapsed")),
     }, inclusive=True)
-    df = df.withColumn("start", F.coalesce(F.col("_start"), F.col("_origin") + F.col("_elapsed")))
-    df = df.withColumn("end", F.greatest("start", F.coalesce(F.col("_end"), F.col("start") + F.col("_d"))))
-    return df.drop("_d", "_gap", "_next", "_elapsed", "_prev", "_origin", "_start", "_end")
+    start = F.coalesce(F.col("_start"), F.col("_origin") + F.col("_elapsed"))
+    return df.select(*kept, "seq", start.alias("start"), F.greatest(start, F.coalesce(F.col("_end"), start + d)).alias("end"))
 
 
 def language_profile(segments: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def analyze(segments: DataFrame, lexicon: Lexicon, markers: ActMarkers = ActMark
     context = sequence.in_context(sig, sequence.context_marks(sig))
     if cut:
         context = materialize(context)
-    calls = verdict.call_facts(segments)
+    calls = verdict.call_facts(context)
     observations = sequence.first_observations(context)
     base = verdict.dedupe_events(sequence.clause_events(context))
     summary = verdict.summarize_calls(

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 from callward import vocab
 from callward.functions import text as X
@@ -110,7 +111,7 @@ COMPLETION = (
 PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def balanced_object(text: pd.Series) -> pd.Series:
     """The first balanced {...} of a text, null when it never closes."""
 
@@ -136,7 +137,7 @@ def balanced_object(text: pd.Series) -> pd.Series:
     return text.map(cut)
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def is_json_object(text: pd.Series) -> pd.Series:
     def check(s: str | None) -> bool:
         try:
