@@ -79,7 +79,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     direction = F.when(F.col("opener") == "user", "inbound").when(F.col("opener") == "assistant", "outbound").otherwise("unknown")
     return df.join(opener, "conv_id").select(
         F.col("conv_id").alias("call_id"), "turn", speaker.alias("speaker"), "text",
-        (0.4003 + (F.length("text") % 61) / 97.0).alias("confidence"), direction.alias("call_direction"))
+        (0.3703 + (F.length("text") % 61) / 97.0).alias("confidence"), direction.alias("call_direction"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ SQL_TURNS = """
 turns AS (
   SELECT conv_id AS call_id, turn,
     CASE role WHEN 'user' THEN 'VICTIM' WHEN 'assistant' THEN 'CALLER' ELSE 'UNKNOWN' END AS speaker,
-    text, 0.4003::DOUBLE + (length(text) % 61)::DOUBLE / 97.0::DOUBLE AS confidence,
+    text, 0.3703::DOUBLE + (length(text) % 61)::DOUBLE / 97.0::DOUBLE AS confidence,
     CASE first_value(role) OVER (PARTITION BY conv_id ORDER BY turn)
       WHEN 'user' THEN 'inbound' WHEN 'assistant' THEN 'outbound' ELSE 'unknown' END AS call_direction
   FROM conversations)
