@@ -72,7 +72,7 @@ def w03(spark, d):
                                     "prior_otp", "prior_cred", "prior_never")
 
 
-KEPT = "(mask <> 0 OR clause_ix = 0 OR (forbids AND scope))"
+KEPT = f"(mask <> 0 OR clause_ix = 0 OR (forbids AND scope) OR (asks AND {b('TARGET_OTP', col='prior')}))"
 
 
 @check("w04_running_context", A.with_context(f"""SELECT call_id, seq, clause_ix, cp <> 0 AS problem_known, dm AS demanded,

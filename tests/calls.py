@@ -39,6 +39,7 @@ CALLS = {
     "pressure": ("unknown", [("CALLER", "Срочно, немедленно, времени мало, быстрее!")] * 10),
     "otp": ("unknown", [
         ("CALLER", "Это служба безопасности банка, на вас оформляется кредит."), ("CALLER", "Продиктуйте код из СМС.")]),
+    "pronoun": ("unknown", [("CALLER", "Вам придёт код из СМС. Продиктуйте его мне.")]),
     "live": ("outbound", [
         ("CALLER", "Здравствуйте, это служба безопасности банка Halyk."), ("VICTIM", "Да, слушаю."),
         ("CALLER", "На ваше имя оформляется кредит, нужно срочно отменить."), ("CALLER", "Продиктуйте код из СМС."),

@@ -48,6 +48,10 @@ def test_code_word_is_no_one_time_code(categories):
     assert "IMPERSONATION" not in categories.get("name", set())
 
 
+def test_pronoun_resolves_to_the_same_utterance(categories):
+    assert "OTP_REQUEST" in categories["pronoun"]
+
+
 def test_repeated_pressure_is_capped(by_call):
     assert by_call["pressure"].risk_score < by_call["otp"].risk_score
 
