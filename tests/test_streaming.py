@@ -15,31 +15,23 @@ def _segments(spark):
     return segments.from_turns(turns(spark, USED), clean=False)
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    segs = _segments(spark)
-    want = live.replay(segs, LEXICON)
-    rows = segs.withColumn("ts", F.timestamp_seconds(F.col("start") + 1_700_000_000)).select(
+def _land(spark, folder, cuts):
+    rows = _segments(spark).withColumn("ts", F.timestamp_seconds(F.col("start") + 1_700_000_000)).select(
         "call_id", "seq", "speaker", "start", "end", "text", "confidence", "call_direction", "ts")
-    folder = str(tmp_path / "in")
-    # three files, the second one repeats a turn
-    for lo, hi in ((0, 1), (1, 3), (4, 9)):
+    for lo, hi in cuts:
         rows.filter(F.col("seq").between(lo, hi)).coalesce(1).write.mode("append").json(folder)
+
+
+def test_stream_equals_replay(spark, tmp_path):
+    segs = _segments(spark)
+    # the second file repeats a turn
+    _land(spark, str(tmp_path / "in"), ((0, 2), (2, 9)))
     scorer = stream.LiveScorer(str(tmp_path / "out"), LEXICON, ActMarkers())
-    scorer.start(stream.turn_stream(spark, folder), availableNow=True).awaitTermination()
+    scorer.start(stream.turn_stream(spark, str(tmp_path / "in")), availableNow=True).awaitTermination()
     got = spark.read.parquet(f"{scorer.root}/updates")
     cols = ("call_id", "upd", "risk_score", "stage")
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.updates.select(*cols).collect()))
-
-    frames = stream.monitor(scorer.update_stream(spark).drop("batch"))
-    query = frames.writeStream.format("parquet").option("path", str(tmp_path / "frames")).option(
-        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    held = spark.read.parquet(str(tmp_path / "frames"))
-    peaks = {(r.call_id, r.upd): r.peak for r in want.updates.select("call_id", "upd", "peak").collect()}
-    assert {(r.call_id, r.upd): r.peak for r in held.collect()} == peaks
-    alerts = {(r.call_id, r.upd, r.alert_level, r.triggered_by) for r in held.filter("alert_level <> 'NONE'").collect()}
-    assert alerts == {(r.call_id, r.upd, r.level, r.triggered_by) for r in want.alerts.collect()}
-    assert any(a[0] == "live" and a[2] == "CRITICAL" and a[3] == "OTP_REQUEST" for a in alerts)
+    want = live.analyze_updates(segs, LEXICON)[0]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
 
     final = scorer.finalize(spark, spark.createDataFrame([("live",)], "call_id string"))
     full = batch.score_calls(batch.analyze(segs, LEXICON))
@@ -47,6 +39,31 @@ def test_stream_equals_replay(spark, tmp_path):
     assert pick(final.assessed) == {"live": pick(full.assessed)["live"]}
 
 
+def test_monitor_state(spark, tmp_path):
+    event = lambda c, s, sev: (c, s, sev, f"{c} {s}")
+    rows = [("a", 0, 35, "FEAR_ESCALATION", [], [event("FEAR", 1, "MEDIUM")]),
+            ("a", 1, 80, "CREDENTIAL_EXTRACTION", [], [event("FEAR", 1, "MEDIUM"), event("OTP_REQUEST", 9, "CRITICAL")]),
+            ("a", 2, 20, "INTRODUCTION", [], [event("OTP_REQUEST", 9, "CRITICAL")]),
+            ("b", 0, 65, "UNKNOWN", [], None)]
+    df = spark.createDataFrame(rows, stream.UPDATE.replace(", ts timestamp", "")).withColumn("ts", F.current_timestamp())
+    df.coalesce(1).write.parquet(str(tmp_path / "updates" / "batch=0"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        scorer = stream.LiveScorer(str(tmp_path), LEXICON)
+        query = stream.monitor(scorer.update_stream(spark).drop("batch")).writeStream.format("parquet").option(
+            "path", str(tmp_path / "frames")).option("checkpointLocation", str(tmp_path / "state")).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = sorted((r.call_id, r.upd, r.peak, r.deepest_stage, r.n_fresh, r.alert_level, r.triggered_by)
+                 for r in spark.read.parquet(str(tmp_path / "frames")).collect())
+    assert got == [("a", 0, 35, "FEAR_ESCALATION", 1, "MONITOR", "risk_score"),
+                   ("a", 1, 80, "CREDENTIAL_EXTRACTION", 1, "CRITICAL", "OTP_REQUEST"),
+                   ("a", 2, 80, "CREDENTIAL_EXTRACTION", 0, "NONE", ""), ("b", 0, 65, "UNKNOWN", 0, "WARNING", "risk_score")]
+
+
 def test_replay_holds_the_peak_and_moves_forward(spark):
     out = live.replay(_segments(spark), LEXICON)
     rows = sorted((r.call_id, r.upd, r.peak) for r in out.updates.collect())
