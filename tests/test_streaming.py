@@ -1,5 +1,7 @@
 """Streams against the batch replay of the same calls."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from callward.functions.text import ActMarkers
@@ -53,8 +55,12 @@ def test_monitor_state(spark, tmp_path):
         scorer = stream.LiveScorer(str(tmp_path), LEXICON)
         query = stream.monitor(scorer.update_stream(spark).drop("batch")).writeStream.format("parquet").option(
             "path", str(tmp_path / "frames")).option("checkpointLocation", str(tmp_path / "state")).trigger(
-            availableNow=True).start()
-        query.awaitTermination()
+            processingTime="1 second").start()
+        # state with a time limit keeps the query alive, so stop it after its first batch
+        until = time.time() + 90
+        while time.time() < until and not any(p["numInputRows"] for p in query.recentProgress):
+            time.sleep(0.5)
+        query.stop()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     got = sorted((r.call_id, r.upd, r.peak, r.deepest_stage, r.n_fresh, r.alert_level, r.triggered_by)
@@ -78,7 +84,7 @@ def test_tumbling_slices(spark, tmp_path):
     rows = _segments(spark).withColumn("ts", F.timestamp_seconds(F.col("start"))).select(
         "call_id", "seq", "speaker", "start", "end", "text", "confidence", "call_direction", "ts")
     rows.coalesce(1).write.json(str(tmp_path / "in"))
-    q = stream.tumbling(stream.deduplicated(stream.turn_stream(spark, str(tmp_path / "in")), "0 seconds"), "8 seconds", "0 seconds")
+    q = stream.tumbling(stream.deduplicated(stream.turn_stream(spark, str(tmp_path / "in")), "0 seconds"), "8 seconds", None)
     run = q.writeStream.format("memory").queryName("slices").outputMode("append").option(
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
