@@ -1,25 +1,30 @@
-"""Lineage cuts for tables that several later steps read."""
+"""Lineage cuts: tables written once to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a shared table once.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new empty folder for this session, deleted when its driver ends.
 
-    The session names a shared folder in `spark.checkpoint.dir`; the table is
-    checkpointed there and survives lost executors.  Only a local session without
-    the setting gets a folder of its own; elsewhere the table is kept in the block
-    manager, from where it can be recomputed.
+    It lies in `spark.checkpoint.dir`; where that is unset, in the warehouse, which a
+    cluster shares as well.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="callward-"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() \
+        or spark.conf.get("spark.sql.warehouse.dir")
+    where = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return where
+
+
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Compute a table once and read it back; it survives lost executors."""
+    path = scratch(df.sparkSession, name) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
