@@ -26,12 +26,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callward.llm.common import slices
+from callward.llm.common import ranges, slices
 
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                    for c in range(256))
 BLOCK_BYTES = 32 << 20
-SHARD_ROWS = 1024
 FILTER_BITS = 22
 PREFIX = 3
 
@@ -108,17 +107,12 @@ class Benchmark:
             if len(hit):
                 many = many[hit]
                 query = np.repeat(hit, many)
-                place = places[np.repeat(first[hit], many) + _ranges(many)]
+                place = places[np.repeat(first[hit], many) + ranges(many)]
                 at = np.concatenate(([0], np.cumsum(owners)))
                 found.append((place, size, query, owners, owner, at))
         return sizes, found
 
 
-def _ranges(counts: np.ndarray) -> np.ndarray:
-    """0..n-1 for each count, one after the other."""
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
 def judge(texts: list[bytes | None], blocks: Iterable[Benchmark]) -> dict[str, list]:
     """Hits of one shard: words, hit words, items, and the longest verbatim run with its place."""
     owned: list[np.ndarray] = []
@@ -132,7 +126,7 @@ def judge(texts: list[bytes | None], blocks: Iterable[Benchmark]) -> dict[str, l
             np.add.at(turn, place, 1)
             np.add.at(turn, place + size, -1)
             many = owners[query]
-            item = owner[np.repeat(at[query], many) + _ranges(many)]
+            item = owner[np.repeat(at[query], many) + ranges(many)]
             doc = np.searchsorted(starts, np.repeat(place, many), "right") - 1
             owned.append(np.unique(np.stack([doc, item], 1), axis=0))
     covered = np.cumsum(turn[:-1]) > 0
@@ -181,7 +175,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
 def _scan(blocks: list[Broadcast], window: int, share: tuple[int, int]):
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
         for whole in batches:
-            for batch in slices(whole, SHARD_ROWS):
+            for batch in slices(whole, "__text"):
                 found = judge(batch.column("__text").to_pylist(), (_opened(b, window) for b in blocks))
                 found["contaminated"] = (found["n_hit"] > 0) & (share[1] * found["n_hit"] >= share[0] * found["n_words"])
                 yield batch, found

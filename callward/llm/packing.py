@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callward.llm.common import slices
+from callward.llm.common import ranges, slices, split_words
 from callward.operators.cut import materialize
 
 CAPACITY = 2048
@@ -34,19 +35,20 @@ GROUP_ROWS = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Fixed values of the word vocabulary: how it splits a lower-case text into words.  Within the
-# characters of PLAIN they don't depend on normalization, so that words can be encoded one by one.
-PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÿ]*")
+# characters of PLAIN they don't depend on normalization.
+PLAIN = r"^[\t-\r\x20-\x7eÀ-ÿ]*$"
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes.
+    """Ids of whole texts.
 
-    Texts of plain characters are split into words and each distinct word is encoded once;
-    other texts, and those that name a special token, go to the tokenizer whole.
+    No word of the vocabulary spans white space.  Texts of plain characters are split there and
+    each distinct chunk of a slice is looked up once; what a worker hasn't met is encoded word by
+    word.  Other texts, and those that name a special token, go to the tokenizer whole.
     """
 
-    KEPT = 500_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,32 +58,56 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
         """Encode words in one call; a word's ids end where a token ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        if len(at) != len(new) + 1:
-            self.known.update((w, self.whole(w)) for w in new)
-            return
+        ids = self.whole(" ".join(new))
+        ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         raw = ids.tobytes()
-        self.known.update(zip(new, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        split = [WORDS.findall(t.lower()) if t and "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        if new := list(set().union(*(s for s in split if s)).difference(self.known)):
+        if len(ends) == len(new) + 1:
+            self.words.update(zip(new, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        else:
+            self.words.update((w, self.whole(w).tobytes()) for w in new)
+
+    def _chunks(self, distinct: list[str]) -> list[bytes]:
+        for known in (self.chunks, self.words):
+            if len(known) > self.KEPT:
+                known.clear()
+        found = list(map(self.chunks.get, distinct))
+        lacking = [k for k, v in enumerate(found) if v is None]
+        split = [WORDS.findall(distinct[k]) for k in lacking]
+        if new := list(set().union(*split).difference(self.words)):
             self._learn(new)
-        get = self.known.__getitem__
-        for text, parts in zip(texts, split, strict=True):
-            out.append(b"" if not text else self.whole(text) if parts is None else b"".join(map(get, parts)))
-        return out
+        get = self.words.__getitem__
+        for k, parts in zip(lacking, split, strict=True):
+            found[k] = self.chunks[distinct[k]] = b"".join(map(get, parts))
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; where each text's ids begin and the last end)."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        codes, offsets, distinct = split_words(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        found = [*self._chunks(distinct), np.array([end_id], "<u4").tobytes()]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        codes = np.insert(codes, offsets[1:], len(distinct))
+        many = sizes[codes]
+        ids = flat[np.repeat(begins[codes], many) + ranges(many)]
+        ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], offsets[1:] + np.arange(1, len(offsets))))]
+        if len(odd):
+            parts = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            for k in odd.tolist():
+                parts[k] = np.append(self.whole(texts[k].as_py()), np.array(end_id, "<u4"))
+            ids, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -101,22 +127,22 @@ def tokenizer_path() -> str:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per piece: its place in the document's ids, and the checksum of its own."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for part in slices(batch, 256):
-                for doc, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at:at + 4 * capacity]
-                        for out, v in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                            out.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in slices(batch):
+                ids, ends = code.encode(part.column("text"), end_id)
+                own = np.diff(ends)
+                many = -(-own // capacity)
+                doc, piece = np.repeat(np.arange(len(own)), many), ranges(many)
+                start = piece * capacity
+                length = np.minimum(capacity, own[doc] - start)
+                at = (ends[doc] + start).tolist()
+                sums = [zlib.crc32(ids[a:a + n]) for a, n in zip(at, length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start),
+                     pa.array(length), pa.array(sums, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -179,14 +205,13 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, end_id: int = 0) ->
 
     Documents are encoded anew where they lie and only their ids travel.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            for part in slices(batch, 256):
-                ids = [x + end for x in code.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "raw"])
+            for part in slices(batch):
+                ids, ends = code.encode(part.column("text"), end_id)
+                raw = [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
     raw = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, raw binary")
     own = packed.join(raw, "doc_id").select(
