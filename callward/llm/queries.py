@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callward.llm import decontaminate, packing
+from callward.llm import decontaminate, lines, packing, warc
 from callward.llm.common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_warc_archive", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY 1)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([32768, 1024, 32, 1], lambda q:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(x, 5 * i + 1, 5))::BIGINT // q) % 32, 1)), '')), '')
+    AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d JOIN m USING (h)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, folder = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_back(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_site_line_dedup", """
+WITH r AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+hosts AS (SELECT source, count(*) AS total FROM r GROUP BY 1 HAVING count(*) >= 20),
+n AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct(ls)) AS line FROM r)
+  WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
+common AS (SELECT n.source, list(line) AS bad FROM n JOIN hosts ON n.source IS NOT DISTINCT FROM hosts.source
+  WHERE c > 1 AND c > 0.1::DOUBLE * total GROUP BY 1),
+k AS (SELECT doc_id, r.source, text, array_to_string(list_filter(ls, lambda x: NOT list_contains(bad, x)), chr(10)) AS kept
+  FROM r LEFT JOIN common ON r.source IS NOT DISTINCT FROM common.source)
+SELECT doc_id, source, CASE WHEN trim(replace(kept, chr(10), ''), ' ') <> '' THEN kept ELSE text END AS text FROM k
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), packing.tokenizer_path())
