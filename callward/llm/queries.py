@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callward.llm import decontaminate, lines, packing, warc
-from callward.llm.common import table
+from callward.llm import decontaminate, lines, packing, quality, toxicity, warc
+from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,6 +21,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def scored(spark: SparkSession, sf_dir: str, model_of, label: str, fold: int, held: int, threshold: float) -> DataFrame:
+    """Fit on the labels outside the held-out fold and score every document."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), fold) == held
+    model = model_of.fit(docs, table(spark, sf_dir, "labels"), label, ~held_out)
+    return model_of.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, toxicity, "toxic", 4, 2, 0.3)
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, quality, "quality", 3, 1, 0.5)
+
+
 @query("op3_warc_archive", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, h, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
