@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import decontaminate, lines, packing, quality, toxicity, warc
+from callward.llm import decontaminate, lines, minhash, packing, quality, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -56,6 +56,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+    WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS node FROM documents UNION SELECT r.id, w.b FROM r JOIN both_ways w ON w.a = r.node),
+k AS (SELECT id, min(node) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN k ON k.id = s.doc_id
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op5_site_line_dedup", """
 WITH r AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 hosts AS (SELECT source, count(*) AS total FROM r GROUP BY 1 HAVING count(*) >= 20),
