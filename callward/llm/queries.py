@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import decontaminate, lines, minhash, packing, quality, toxicity, warc
+from callward.llm import ann, decontaminate, lines, minhash, packing, quality, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -95,6 +95,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts)
 
 
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.where(F.col("id") % 20 == 0))
+
+
 OP10_WORDS = (r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
               r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')")
 
