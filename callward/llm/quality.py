@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from callward.llm.common import slices, split_words
-from callward.llm.subwords import Model, Shape, Trainer, features, pairs, sample, sigmoid, word_weights
+from callward.llm.common import ranges, slices, split_words
+from callward.llm.subwords import Model, Shape, Trainer, feature_lists, pairs, sample, sigmoid, word_weights
 
 SAMPLE_ROWS = 6000
 SAMPLE_TEXT_BYTES = 64_000
@@ -35,11 +35,10 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
         return Model(shape, np.zeros(shape.buckets, np.float32), math.log(share / (1 - share)))
     weights = np.array([w for *_, w in rows])
     codes, offsets, distinct = split_words(pa.array([t for t, *_ in rows]))
-    of, at, whole = features(distinct, shape)
-    order = np.argsort(of, kind="stable")
-    at, many = at[order], np.bincount(of, minlength=len(distinct))
-    begin = np.cumsum(many) - many
-    place, pair = pairs(whole[codes] if len(distinct) else whole, offsets, shape.bits)
+    at, many, whole = feature_lists(distinct, shape)
+    del distinct
+    begin = np.cumsum(many, dtype=np.int64) - many
+    place, pair = pairs(whole[codes] if len(whole) else whole, offsets, shape.bits)
     pair_at = np.full(len(codes), -1)
     pair_at[place] = pair
     trainer, n = Trainer(shape, seed), len(rows)
@@ -54,7 +53,7 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
             span = np.repeat(offsets[docs + 1] - offsets[docs], sizes)
             unit = np.repeat(offsets[docs], sizes) + (trainer.rng.random(len(row)) * span).astype(np.int64)
             own = many[codes[unit]]
-            feature = at[np.repeat(begin[codes[unit]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+            feature = at[np.repeat(begin[codes[unit]], own) + ranges(own)]
             with_pair = pair_at[unit] >= 0
             total = sizes + np.bincount(row, with_pair, len(docs))
             trainer.step(

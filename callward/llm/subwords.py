@@ -71,6 +71,18 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(of), np.concatenate(at), whole
 
 
+def feature_lists(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of all words one after the other, number of each word's, hash of each word), made part by part."""
+    ats, many, hashes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for k in range(0, len(words), 10_000):
+        part = words[k:k + 10_000]
+        of, at, whole = features(part, shape)
+        ats.append(at[np.argsort(of, kind="stable")].astype(np.int32))
+        many.append(np.bincount(of, minlength=len(part)).astype(np.int32))
+        hashes.append(whole)
+    return np.concatenate(ats), np.concatenate(many), np.concatenate(hashes)
+
+
 def pairs(hashes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the second word, bucket) of neighbouring words within a text; equal neighbours share one bucket."""
     if len(hashes) < 2:
@@ -86,9 +98,13 @@ def pairs(hashes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
 
 def word_weights(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(logit share of each word, its hash)."""
-    of, at, whole = features(words, model.shape)
-    total = np.bincount(of, model.weight[at], len(words))
-    return total / np.maximum(np.bincount(of, minlength=len(words)), 1), whole
+    values, hashes = [np.zeros(0)], [np.zeros(0, np.uint64)]
+    for k in range(0, len(words), 50_000):
+        part = words[k:k + 50_000]
+        of, at, whole = features(part, model.shape)
+        values.append(np.bincount(of, model.weight[at], len(part)) / np.bincount(of, minlength=len(part)))
+        hashes.append(whole)
+    return np.concatenate(values), np.concatenate(hashes)
 
 
 # --- the labelled sample -----------------------------------------------------------------

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from callward.llm.common import ranges, slices, split_words
-from callward.llm.subwords import Model, Shape, Trainer, features, sample, sigmoid, word_weights
+from callward.llm.subwords import Model, Shape, Trainer, feature_lists, sample, sigmoid, word_weights
 
 SAMPLE_ROWS = 6000
 SAMPLE_TEXT_BYTES = 64_000
@@ -61,11 +61,8 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
         return Model(shape, np.zeros(shape.buckets, np.float32), math.log(share / (1 - share)))
     weights = np.array([w for *_, w in rows])
     codes, offsets, distinct = _split(pa.array([t for t, *_ in rows]))
-    of, at, _ = features(distinct, shape)
-    order = np.argsort(of, kind="stable")
-    of, at = of[order], at[order]
-    own = np.bincount(of, minlength=len(distinct))
-    first = np.cumsum(own) - own
+    at, own, _ = feature_lists(distinct, shape)
+    first = np.cumsum(own, dtype=np.int64) - own
     begin, end, many = windows(offsets)
     last = np.cumsum(many)
     full = np.flatnonzero(many > 0)
@@ -74,7 +71,7 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
     for epoch in range(epochs):
         if epoch >= FIRST:
             model = trainer.model()
-            value = np.bincount(of, model.weight[at], len(distinct)) / own
+            value = np.add.reduceat(model.weight[at], first) / own if len(own) else np.zeros(0)
             mean = _means(value, codes, begin, end)
         turn = trainer.rng.permutation(full)
         for k in range(0, len(turn), BATCH):
