@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import ann, decontaminate, lines, minhash, packing, quality, toxicity, warc
+from callward.llm import ann, decontaminate, lines, minhash, packing, passages, quality, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -95,6 +95,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts)
 
 
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 @query("op9_nearest_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.vectors(table(spark, sf_dir, "embeddings"))
