@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import ann, decontaminate, lines, minhash, packing, passages, quality, toxicity, warc
+from callward.llm import ann, decontaminate, lines, minhash, packing, passages, quality, tokens, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -21,6 +21,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_edit_aware_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after numbers and addresses are masked and lines joined."""
+    rule = tokens.replacing(r"[0-9]+|@|\n", {"\n": " "}, "#")
+    return tokens.edit(table(spark, sf_dir, "documents"), tokens.tokenizer_path(), rule, texts=False)
+
+
 def scored(spark: SparkSession, sf_dir: str, model_of, label: str, fold: int, held: int, threshold: float) -> DataFrame:
     """Fit on the labels outside the held-out fold and score every document."""
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), fold) == held
