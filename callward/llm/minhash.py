@@ -176,6 +176,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the links between components are followed."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("comp").alias("c"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    moved = components(links.where("a <> b"))
+    old = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left") \
+        .select("node", F.coalesce("to", "comp").alias("comp"))
+    return materialize(old.unionByName(moved.join(labels, "node", "left_anti")), "labels")
+
+
 def _cross(rest_of_group: int | None):
     """Compare members outside a bucket's largest component with its other members, block by block."""
     def block(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +253,8 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     live = known.where("n_shingles > 0 and doc_id is not null")
     members = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     first = live.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi") \
-        .dropDuplicates(["doc_id", "d1", "d2"]).withColumnRenamed("doc_id", "rep")
+        .dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "sig", "bands")
+    first = materialize(first, "representatives")
     sigs = first.select("rep", "sig")
     # the band is hashed into its key
     banded = first.select("rep", F.explode("bands").alias("key"))
@@ -254,14 +266,12 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a") \
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b") \
         .where(estimated(F.col("sa"), F.col("sb")) >= share[0] / share[1] - MARGIN).select("a", "b").distinct()
-    links = materialize(confirmed(materialize(near, "near"), docs, share), "links")
-    labels = components(links)
+    labels = components(confirmed(materialize(near, "near"), docs, share))
     for few in (FEW, None):
         more = materialize(_remaining(buckets.select("key", "rep"), sigs, labels, few), "more")
         if more.isEmpty():
             break
-        links = materialize(links.union(confirmed(more, docs, share)).distinct(), "links")
-        labels = components(links)
+        labels = _merged(labels, confirmed(more, docs, share))
     comp = labels.select(F.col("node").alias("rep"), "comp")
     of_set = members.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = known.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
