@@ -4,8 +4,8 @@ A document keeps a segment tree over its pre-tokens: leaves hold the characters
 pre-token each, inner nodes the sums of their subtrees.  An edit (start, delete, insert) is located
 by descending the tree; the touched leaves, the two pre-tokens before them and the text up to the
 next boundary that falls together with an old one are split and encoded anew, their counts go
-into the first leaf of the run, the others of the run become empty, and the sums above the run are
-updated.  Everything else keeps its counts.
+into the leaves of the run, and the sums above the run are updated.  Everything else keeps its
+counts.
 
 The split looks ahead by two characters at most and never back, so that from a boundary two
 pre-tokens before an edit it goes as it would over the whole text, and as soon as it meets an old
@@ -95,11 +95,19 @@ class Tree:
                 leaf += 1
         return leaf, begin
 
-    def put(self, first: int, last: int, chars: int, tokens: int) -> None:
-        """Give leaves first..last the sums `chars` and `tokens` and update what stands above them."""
+    def put(self, first: int, last: int, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """Give leaves first..last new pre-tokens, the rest of them none, and update the sums above.
+
+        More pre-tokens than leaves are spliced in: the sums are built anew, nothing is encoded again.
+        """
+        if len(chars) > last - first + 1:
+            leaves = [np.concatenate((level[0][:first], new, level[0][last + 1:])) for level, new in ((self.chars, chars), (self.tokens, tokens))]
+            full = leaves[0] > 0
+            self.__init__(leaves[0][full], leaves[1][full])
+            return
         for levels, value in ((self.chars, chars), (self.tokens, tokens)):
             levels[0][first:last + 1] = 0
-            levels[0][first] = value
+            levels[0][first:first + len(value)] = value
             a, b = first, last
             for below, level in zip(levels, levels[1:], strict=False):
                 a, b = a // 2, b // 2
@@ -139,7 +147,7 @@ def apply(text: str, tree: Tree, start: int, delete: int, insert: str, counter:
     end = last_begin + int(leaves[last])  # of the touched leaves, in the old text
     shift = len(insert) - delete
     # split on from the boundary until a new boundary meets an old one behind the edit
-    chars, tokens, at = 0, [], begin
+    tokens, at = [], begin
     while at < len(new):
         part = PRETOKENS.match(new, at).group()
         tokens.append(part)
@@ -151,8 +159,7 @@ def apply(text: str, tree: Tree, start: int, delete: int, insert: str, counter:
             break
     else:
         last = len(leaves) - 1
-    chars = at - begin
-    tree.put(first, last, chars, int(counter.counts(tokens).sum()) if tokens else 0)
+    tree.put(first, last, np.fromiter(map(len, tokens), np.int32, len(tokens)), counter.counts(tokens))
     return new
 
 
