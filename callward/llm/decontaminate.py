@@ -77,7 +77,7 @@ class Benchmark:
     def _key(self, rows: np.ndarray, fill: int) -> np.ndarray:
         """Words as big-endian bytes, filled to the window: byte order is word order."""
         full = np.full((len(rows), self.window * 4), fill, np.uint8)
-        full[:, :rows.shape[1] * 4] = np.ascontiguousarray(rows.astype(">u4")).view(np.uint8).reshape(len(rows), -1)
+        full[:, :rows.shape[1] * 4] = np.ascontiguousarray(rows.astype(">u4")).view(np.uint8).reshape(len(rows), rows.shape[1] * 4)
         return full.reshape(-1).view(f"S{self.window * 4}")
 
     def search(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[tuple]]:
