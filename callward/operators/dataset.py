@@ -106,19 +106,58 @@ def assign_split(records: DataFrame, assignment: DataFrame) -> DataFrame:
     return out.withColumn("split", F.coalesce("_s", fallback)).drop("_s")
 
 
-def build_records(segments: DataFrame, calls: DataFrame, gold: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Dataset rows: transcript, gold and chat messages per call part."""
-    from callward.operators.segments import PART_LINES, messages
+def gold_factors(events: DataFrame, gold: DataFrame, segments: DataFrame) -> DataFrame:
+    """Risk factors per call from annotated events: (call_id, risk_factors), the identity claim of a scam first.
 
-    listed = segments.groupBy("call_id", F.floor(F.col("seq") / PART_LINES).cast("int").alias("part")).agg(
+    events(call_id, seq, ord, speaker, timestamp, category, severity, evidence, [reason]).
+    """
+    reason = F.col("reason") if "reason" in events.columns else F.lit("")
+    rows = events.select("call_id", F.lit(1).alias("k"), "seq", F.col("ord").cast("long").alias("ord"), "timestamp", "speaker",
+                         "category", "severity", "evidence", reason.cast("string").alias("reason"))
+    claimed = gold.filter("gold_class = 'SCAM' AND identity_seq IS NOT NULL").select("call_id", F.col("identity_seq").alias("seq"))
+    claim = segments.join(claimed, ["call_id", "seq"]).select(
+        "call_id", F.lit(0).alias("k"), "seq", F.lit(0).cast("long").alias("ord"), T.fmt_ts(F.col("start")).alias("timestamp"), "speaker",
+        F.lit("IMPERSONATION").alias("category"), F.lit("HIGH").alias("severity"), F.col("text").alias("evidence"),
+        F.lit("").alias("reason"))
+    listed = rows.unionByName(claim).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct(
+        "k", "seq", "ord", F.struct("timestamp", "speaker", "category", "severity", "evidence", "reason").alias("f")))).alias("l"))
+    return listed.select("call_id", F.transform("l", lambda x: x["f"]).alias("risk_factors"))
+
+
+def build_records(segments: DataFrame, calls: DataFrame, gold: DataFrame, prompts: DataFrame,
+                  factors: DataFrame | None = None) -> DataFrame:
+    """Dataset rows, one per call: transcript, gold verdict and chat messages.
+
+    `factors` (of `gold_factors`) and an `explanation` column of `gold` are optional.  The answer in
+    the messages is the gold verdict as JSON.
+    """
+    from callward.operators.segments import messages
+
+    listed = segments.groupBy("call_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "seq", "speaker", "start", "end", T.fmt_ts(F.col("start")).alias("timestamp"),
-            "language", "text", "text_original", "confidence"))).alias("segments"))
-    target = F.to_json(F.struct(*[c for c in gold.columns if c not in ("call_id", "identity_seq")]))
-    goldj = gold.select("call_id", target.alias("target"))
+            "language", "text", "text_original", "confidence"))).alias("l"))
+    listed = listed.select("call_id", F.transform("l", lambda x: x.dropFields("seq")).alias("segments"))
+    none = F.array().cast("array<string>")
+
+    def given(name: str, default: Column, of: str | None = None) -> Column:
+        return F.coalesce(of or name, default) if (of or name) in gold.columns else default
+
+    factor = "array<struct<timestamp:string,speaker:string,category:string,severity:string,evidence:string,reason:string>>"
+    if factors is None:
+        gold = gold.withColumn("risk_factors", F.array().cast(factor))
+    else:
+        gold = gold.drop("risk_factors").join(factors, "call_id", "left")
+    verdict = F.struct(
+        F.col("gold_class").alias("classification"), F.col("confidence").alias("confidence"),
+        given("scam_types", none).alias("scam_types"), given("tactics", none).alias("tactics"),
+        given("conversation_stage", F.lit("UNKNOWN"), "stage").alias("conversation_stage"),
+        given("requested_actions", none).alias("requested_actions"), given("explanation", F.lit("")).alias("explanation"),
+        given("recommended_action", F.lit("")).alias("recommended_action"),
+        F.coalesce("risk_factors", F.array().cast(factor)).alias("risk_factors"))
     return (
-        listed.join(calls, "call_id").join(goldj, "call_id").join(prompts, ["call_id", "part"])
-        .withColumn("messages", messages(F.col("prompt"), F.col("target"))).drop("prompt")
+        listed.join(calls, "call_id").join(gold.select("call_id", verdict.alias("gold")), "call_id").join(prompts, "call_id")
+        .withColumn("messages", messages(F.col("prompt"), F.to_json("gold"))).drop("prompt")
     )
 
 

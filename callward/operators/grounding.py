@@ -1,9 +1,8 @@
 """Locating quotes in the transcript they claim to come from.
 
-Containment is settled in the JVM.  Quotes and utterances of an ordinary call are
-joined on the call; in a call with very many of both, the pairs are found through
-shared character grams instead, so no call produces all its pairs.  Only quotes
-that are contained nowhere reach the Python similarity measure.
+Containment is settled in the JVM: pairs are found through hashes of shared character
+grams, which travel with ids only, so no call produces all its pairs.  Only quotes that
+are contained nowhere reach the Python similarity measure.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from callward import vocab
 from callward.functions import text as T
 
 GRAMS = (1, 2, 4, 8, 16)
-PAIR_LIMIT = 20_000
 
 
 def haystacks(segments: DataFrame) -> DataFrame:
@@ -53,32 +51,30 @@ def _all_grams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*per_size)))
 
 
-def _contained(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
-    """Pairs where the inner text occurs in the outer one, via the first gram of the inner text."""
-    head = inner.withColumn(
-        "_g", F.substring(F.col(inner_col), F.lit(1), _gram_size(F.col(inner_col))))
-    grams = outer.withColumn("_g", F.explode(_all_grams(F.col(outer_col))))
-    return head.join(grams, ["call_id", "_g"]).filter(
-        F.col(outer_col).contains(F.col(inner_col))).drop("_g")
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(call_id, i, o) of texts t where the inner one occurs in the outer one, via the first gram of the inner text."""
+    def hashed(gram: Column) -> Column:
+        return F.xxhash64(gram)
 
+    head = inner.select("call_id", F.col("id").alias("i"), hashed(F.substring("t", F.lit(1), _gram_size(F.col("t")))).alias("g"))
+    grams = outer.select("call_id", F.col("id").alias("o"), F.explode(F.array_distinct(
+        F.transform(_all_grams(F.col("t")), hashed))).alias("g"))
+    pairs = head.join(grams, ["call_id", "g"]).select("call_id", "i", "o").distinct()
+    texts = pairs.join(inner.select("call_id", F.col("id").alias("i"), F.col("t").alias("_i")), ["call_id", "i"]) \
+        .join(outer.select("call_id", F.col("id").alias("o"), F.col("t").alias("_o")), ["call_id", "o"])
+    return texts.filter(F.col("_o").contains(F.col("_i"))).select("call_id", "i", "o")
 
-def contained(quotes: DataFrame, hays: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+
+def contained(quotes: DataFrame, hays: DataFrame) -> DataFrame:
     """quotes(call_id, quote_id, needle) -> (call_id, quote_id, seq) of the first containing utterance."""
-    sizes = (
-        quotes.groupBy("call_id").agg(F.count("*").alias("nq"))
-        .join(hays.groupBy("call_id").agg(F.count("*").alias("nh")), "call_id")
-        .select("call_id", (F.col("nq") * F.col("nh") > pair_limit).alias("big"))
-    )
-    q, h = quotes.join(sizes, "call_id"), hays.join(sizes, "call_id")
-    q_small, h_small = q.filter("not big").drop("big"), h.filter("not big").drop("big")
-    q_big, h_big = q.filter("big").drop("big"), h.filter("big").drop("big")
-    either = F.col("hay").contains(F.col("needle")) | F.col("needle").contains(F.col("hay"))
-    small = q_small.join(h_small, "call_id").filter(either)
-    cols = ["call_id", "quote_id", "at"]
-    big = _contained(q_big, "needle", h_big, "hay").select(*cols).unionByName(
-        _contained(h_big, "hay", q_big, "needle").select(*cols))
-    return small.select(*cols).unionByName(big).groupBy("call_id", "quote_id").agg(
-        F.min("at.seq").alias("seq"))
+    # equal texts of a call are one text
+    q = quotes.select("call_id", F.xxhash64("needle").alias("id"), F.col("needle").alias("t")).distinct()
+    h = hays.select("call_id", F.xxhash64("hay").alias("id"), F.col("hay").alias("t"), F.col("at.seq").alias("seq"))
+    texts = h.select("call_id", "id", "t")
+    pairs = _contained(q, texts).unionByName(_contained(texts, q).select("call_id", F.col("o").alias("i"), F.col("i").alias("o")))
+    first = pairs.join(h.select("call_id", F.col("id").alias("o"), "seq"), ["call_id", "o"]).groupBy("call_id", "i").agg(F.min("seq").alias("seq"))
+    return quotes.select("call_id", "quote_id", F.xxhash64("needle").alias("i")).join(first, ["call_id", "i"]) \
+        .groupBy("call_id", "quote_id").agg(F.min("seq").alias("seq"))
 
 
 @pandas_udf(DoubleType())
@@ -124,29 +120,28 @@ def fuzzy(residue: DataFrame, hays: DataFrame) -> DataFrame:
         "call_id", "quote_id", (-F.col("b.neg")).alias("seq"), F.col("b.score").alias("score"))
 
 
-def locate(quotes: DataFrame, segments: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def locate(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     """quotes(call_id, quote_id, evidence) -> seq and score, null seq when not found."""
     q = quotes.select("call_id", "quote_id", T.quote_canon(F.col("evidence")).alias("needle")).filter("needle <> ''")
     hays = haystacks(segments.join(quotes.select("call_id").distinct(), "call_id", "left_semi"))
-    found = contained(q, hays, pair_limit).withColumn("score", F.lit(1.0))
+    found = contained(q, hays).withColumns({"score": F.lit(1.0), "by": F.lit("containment")})
     residue = q.join(found, ["call_id", "quote_id"], "left_anti")
-    return found.unionByName(fuzzy(residue, hays))
+    return found.unionByName(fuzzy(residue, hays).withColumn("by", F.lit("similarity")))
 
 
-def ground(events: DataFrame, segments: DataFrame, pair_limit: int = PAIR_LIMIT
-           ) -> tuple[DataFrame, DataFrame]:
+def ground(events: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Attach events(call_id, quote_id, evidence, category, ...) to segments.
 
     Returns the kept events, with time and speaker taken from the matched
     segment, and the dropped ones with the reason.
     """
-    at = locate(events, segments, pair_limit).select(
-        "call_id", "quote_id", F.col("seq").alias("segment_index"), F.round("score", 3).alias("grounding_score"))
+    at = locate(events, segments).select(
+        "call_id", "quote_id", F.col("seq").alias("segment_index"), F.round("score", 3).alias("grounding_score"), F.col("by").alias("grounded_by"))
     where = segments.select(
         "call_id", F.col("seq").alias("segment_index"), F.col("speaker").alias("_speaker"),
         F.col("start").alias("_start"))
     kept = (
-        events.drop("segment_index", "grounding_score").filter(T.strip(F.col("evidence")) != "")
+        events.drop("segment_index", "grounding_score", "grounded_by").filter(T.strip(F.col("evidence")) != "")
         .join(at, ["call_id", "quote_id"]).join(where, ["call_id", "segment_index"])
         .withColumns({"speaker": F.col("_speaker"), "start": F.col("_start"),
                       "sec": T.whole_seconds(F.col("_start"))})

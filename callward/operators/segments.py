@@ -9,8 +9,6 @@ from callward import vocab
 from callward.functions import text as T
 from callward.operators.prefix import BLOCK, blocks_of, running
 
-PART_LINES = 10_000
-
 
 def _optional(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
@@ -109,18 +107,18 @@ def render_line(normalized: bool = True, with_confidence: bool = False) -> Colum
     )
 
 
-def render(segments: DataFrame, normalized: bool = True, with_confidence: bool = False,
-           part_lines: int = PART_LINES) -> DataFrame:
-    """Transcript text per call in parts of at most `part_lines` lines.
+def transcript_lines(segments: DataFrame, normalized: bool = True, with_confidence: bool = False) -> DataFrame:
+    """(call_id, seq, line): the transcript as rows, however long a call is."""
+    return segments.select("call_id", "seq", render_line(normalized, with_confidence).alias("line"))
+
 
-    A call of ordinary length is one part; a huge call gives several rows rather
-    than one unbounded string.
+def render(segments: DataFrame, normalized: bool = True, with_confidence: bool = False) -> DataFrame:
+    """Transcript text, one row per call: the form of a prompt or a file.
+
+    Work that doesn't need one text per call uses `transcript_lines`.
     """
-    rows = segments.select(
-        "call_id", F.floor(F.col("seq") / part_lines).cast("int").alias("part"), "seq",
-        render_line(normalized, with_confidence).alias("line"),
-    )
-    return rows.groupBy("call_id", "part").agg(
+    rows = transcript_lines(segments, normalized, with_confidence)
+    return rows.groupBy("call_id").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("transcript")
     )
@@ -132,7 +130,7 @@ SYSTEM_PROMPT = "You find social-engineering patterns in calls and quote your ev
 
 def prompts(segments: DataFrame, facts: DataFrame, dominant: DataFrame,
             instruction: str = INSTRUCTION) -> DataFrame:
-    """User prompt per call part: instruction, metadata, transcript."""
+    """User prompt per call: instruction, metadata, transcript."""
     meta = F.concat_ws(
         "\n",
         F.concat(F.lit("call_direction: "), "call_direction"),
@@ -144,7 +142,7 @@ def prompts(segments: DataFrame, facts: DataFrame, dominant: DataFrame,
     return (
         render(segments, with_confidence=True)
         .join(facts, "call_id").join(dominant.select("call_id", "dominant"), "call_id")
-        .select("call_id", "part", F.concat_ws(
+        .select("call_id", F.concat_ws(
             "\n\n", F.lit(instruction), F.concat(F.lit("METADATA\n"), meta),
             F.concat(F.lit("TRANSCRIPT\n"), "transcript")).alias("prompt"))
     )

@@ -7,14 +7,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callward.operators.cut import materialize
 from callward.operators.prefix import BLOCK, blocks_of, running
 
-GROUP_LIMIT = 50_000
 
 
 def _db(mean_square: Column) -> Column:
@@ -96,44 +94,9 @@ def region_features(samples: DataFrame, regions: DataFrame, frame_len: int) -> D
         (100.0 * F.count_if(crossed) / F.greatest(F.count("*") - 1, F.lit(1))).alias("crossings"))
 
 
-def _lloyd(points: pd.DataFrame, iterations: int) -> pd.DataFrame:
-    xy = points[["level", "crossings"]].to_numpy()
-    order = points.sort_values(["level", "crossings"]).index
-    at = {k: i for i, k in enumerate(points.index)}
-    centres = xy[[at[order[0]], at[order[-1]]]].copy()
-    labels = None
-    for _ in range(iterations):
-        new = (((xy - centres[0]) ** 2).sum(1) > ((xy - centres[1]) ** 2).sum(1)).astype("int64")
-        if labels is not None and (new == labels).all():
-            break
-        labels = new
-        for k in (0, 1):
-            if (labels == k).any():
-                centres[k] = xy[labels == k].mean(0)
-    out = points[["series_id", "first_frame"]].copy()
-    out["cluster"] = labels
-    return out
-
-
-def two_clusters(features: DataFrame, iterations: int = 25, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Split the regions of each series into two clusters.
-
-    Series of checked size are solved inside a task; larger ones by the same
-    iterations as joins and averages over the cluster.
-    """
-    n = features.groupBy("series_id").agg(F.count("*").alias("_n"))
-    sized = features.join(n, "series_id")
-    kind = features.schema["series_id"].dataType.simpleString()
-    small = sized.filter(F.col("_n") <= group_limit).drop("_n").groupBy("series_id").applyInPandas(
-        lambda pdf: _lloyd(pdf.reset_index(drop=True), iterations),
-        f"series_id {kind}, first_frame bigint, cluster bigint")
-    big = sized.filter(F.col("_n") > group_limit).drop("_n")
-    if big.limit(1).count() == 0:
-        return small
-    return small.unionByName(_lloyd_distributed(big, iterations))
-
-
-def _lloyd_distributed(points: DataFrame, iterations: int) -> DataFrame:
+def two_clusters(features: DataFrame, iterations: int = 25) -> DataFrame:
+    """Split the regions of each series into two clusters, by joins and averages over the cluster."""
+    points = features
     p = F.struct("level", "crossings")
     centres = points.groupBy("series_id").agg(F.min(p).alias("a"), F.max(p).alias("b"))
 

@@ -16,6 +16,11 @@ def clean_labels(labels: Column, allowed: tuple[str, ...]) -> Column:
     return F.coalesce(F.array_distinct(known), F.array().cast("array<string>"))
 
 
+def clean_label(label: Column, allowed: tuple[str, ...]) -> Column:
+    """The same for one text: a list of one label, or none."""
+    return clean_labels(F.when(label.isNotNull(), F.array(label)), allowed)
+
+
 def clean_stage(stage: Column) -> Column:
     name = F.upper(T.strip(F.coalesce(stage, F.lit(""))))
     return F.when(name.isin(*vocab.STAGE_DEPTH), name).otherwise("UNKNOWN")

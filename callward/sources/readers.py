@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from callward import vocab
 from callward.functions import text as X
@@ -47,9 +47,14 @@ def turns_of(calls: DataFrame) -> DataFrame:
         "call_id", "call_direction", F.col("turn").cast("bigint").alias("turn"), "s.*")
 
 
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines corpus with the text of malformed lines in `rejected`; blank lines are ignored."""
+    return spark.read.schema(RECORD + ", rejected string").option("columnNameOfCorruptRecord", "rejected").json(path)
+
+
 def dataset(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines corpus; blank lines are ignored, a missing path is an error."""
-    return spark.read.schema(RECORD).json(path).filter("call_id is not null")
+    """JSON-lines corpus; a malformed line or a missing path is an error."""
+    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
 
 
 def annotated_calls(spark: SparkSession, path: str) -> DataFrame:
@@ -111,59 +116,59 @@ COMPLETION = (
 PARSE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
 
 
-@pandas_udf(StringType())
-def balanced_object(text: pd.Series) -> pd.Series:
-    """The first balanced {...} of a text, null when it never closes."""
-
-    def cut(s: str | None) -> str | None:
-        start = -1 if s is None else s.find("{")
-        if start < 0:
-            return None
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(s)):
-            ch = s[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = ch == "\\", ch != '"'
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if depth == 0:
-                    return s[start:i + 1]
-        return None
-
-    return text.map(cut)
+LISTS = ("scam_types", "tactics", "requested_actions")
 
 
-@pandas_udf(BooleanType())
-def is_json_object(text: pd.Series) -> pd.Series:
-    def check(s: str | None) -> bool:
+def _plain(value: dict) -> dict:
+    """Lists given as one text become lists, numbers given as text become numbers."""
+    out = dict(value)
+    for name in LISTS:
+        if isinstance(out.get(name), str):
+            out[name] = [out[name]]
+    if isinstance(out.get("confidence"), str):
         try:
-            return s is not None and isinstance(json.loads(s), dict)
+            out["confidence"] = float(out["confidence"])
         except ValueError:
-            return False
+            pass
+    return out
+
+
+@pandas_udf(StringType())
+def first_object(text: pd.Series) -> pd.Series:
+    """The text's JSON object, or else the first that begins at its first brace; null where none parses."""
+    decoder = json.JSONDecoder()
+
+    def found(s: str) -> str | None:
+        for at in (0, s.find("{")):
+            if at < 0 or s[at:at + 1] != "{":
+                continue
+            try:
+                value, end = decoder.raw_decode(s, at)
+            except ValueError:
+                continue
+            return json.dumps(_plain(value), ensure_ascii=False)
+        return None
 
-    return text.map(check)
+    return text.map(found)
 
 
 def completions(df: DataFrame, raw: str = "completion") -> DataFrame:
     """Model completions to validated verdict rows.
 
     Code fences are stripped; a text that is not one JSON object is searched for
-    its first balanced object.  Rows that still fail, or break a required range or
-    label, are flagged `invalid_json` with the first 200 characters.
+    its first object.  Rows that still fail, or break a required range or label, are
+    flagged `invalid_json` with the first 200 characters.
     """
     fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(F.col(raw).rlike(r"(?s)```.*?```"), X.strip(fence)).otherwise(X.strip(F.coalesce(raw, F.lit(""))))
     df = df.withColumn("_body", body)
-    df = df.withColumn("_json", F.when(is_json_object("_body"), F.col("_body")).otherwise(balanced_object("_body")))
-    df = df.withColumn("_v", F.when(is_json_object("_json"), F.from_json("_json", COMPLETION, PARSE)))
+    df = df.withColumn("_v", F.from_json(first_object("_body"), COMPLETION, PARSE))
     v = lambda c: F.col(f"_v.{c}")
     cls, conf = F.coalesce(v("classification"), F.lit("SAFE")), F.coalesce(v("confidence"), F.lit(0.0))
     factors = F.coalesce(v("risk_factors"), F.array().cast(f"array<{FACTOR}>"))
     known = F.forall(factors, lambda f: F.upper(X.strip(F.coalesce(f["category"], F.lit("")))).isin("", *vocab.CATEGORIES))
+    said = lambda f, name: F.upper(X.strip(F.coalesce(f[name], F.lit(""))))
+    known = known & F.forall(factors, lambda f: said(f, "severity").isin("", *vocab.SEVERITIES) & said(f, "speaker").isin("", *vocab.SPEAKERS))
     ok = F.col("_v").isNotNull() & v("_bad").isNull() & cls.isin(*vocab.CLASSIFICATIONS) & conf.between(0.0, 1.0) & known
     none = F.array().cast("array<string>")
     return df.withColumn("valid", F.coalesce(ok, F.lit(False))).select(

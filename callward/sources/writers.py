@@ -46,7 +46,7 @@ def replay(records: DataFrame, path: str) -> None:
 
 
 def report(metric_rows: DataFrame, path: str) -> None:
-    metric_rows.coalesce(1).write.mode("overwrite").json(path)
+    metric_rows.repartition(1).write.mode("overwrite").json(path)
 
 
 def audit_rows(calls: DataFrame, action: str, actor: str, detail: Column) -> DataFrame:
@@ -65,15 +65,14 @@ def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the buckets that occur in `df`.
+    """Make `df` the whole content of the table: what it no longer holds is gone from the files.
 
     The content may be derived from the table itself: it is cut from the files
-    before they are replaced.  Rows are clustered by call inside a bucket.
+    before they are replaced.  Rows are dealt by size, the same call next to each other.
     """
     out = materialize(with_bucket(df, buckets))
-    (out.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), F.col("call_id").cast("string")), F.lit(8)))
-        .sortWithinPartitions("call_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    (out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "call_id")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path))
 
 
 def append_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:

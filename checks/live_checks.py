@@ -208,8 +208,8 @@ def j03(spark, d):
 
 @check("j03_grounding_by_grams", _SQL_GROUND)
 def j03g(spark, d):
-    """The same through shared grams, the way very large calls are handled."""
-    return G.contained(_needles(spark, d), G.haystacks(segments(spark, d)), pair_limit=0)
+    """Through `locate`, without what only similarity finds."""
+    return G.locate(quotes(spark, d), segments(spark, d)).filter("by = 'containment'").select("call_id", "quote_id", "seq")
 
 
 @check("j04_speaker_repair", _SQL_GROUND.replace("SELECT q.call_id, q.quote_id, min(h.seq) AS seq", "SELECT x.call_id, quote_id, s.speaker, " + sql_ts("s.start") + " AS timestamp FROM (SELECT q.call_id, q.quote_id, min(h.seq) AS seq")
@@ -218,10 +218,8 @@ def j04(spark, d):
     from callward.functions import text as T
 
     ev = quotes(spark, d).withColumns({"category": F.lit("FEAR"), "speaker": F.lit("?"), "start": F.lit(0.0)})
-    found = G.contained(_needles(spark, d), G.haystacks(segments(spark, d))).withColumnRenamed("seq", "segment_index")
-    where = segments(spark, d).select("call_id", F.col("seq").alias("segment_index"), F.col("speaker").alias("s"), F.col("start").alias("t"))
-    return ev.join(found, ["call_id", "quote_id"]).join(where, ["call_id", "segment_index"]).select(
-        "call_id", "quote_id", F.col("s").alias("speaker"), T.fmt_ts(F.col("t")).alias("timestamp"))
+    kept, _ = G.ground(ev, segments(spark, d))
+    return kept.filter("grounded_by = 'containment'").select("call_id", "quote_id", "speaker", T.fmt_ts(F.col("start")).alias("timestamp"))
 
 
 @check("j03_grounding_fuzzy")

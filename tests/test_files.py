@@ -36,6 +36,23 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "split" / "split=test")).count() == 1
     with pytest.raises(Exception):
         readers.dataset(spark, str(tmp_path / "nowhere")).count()
+    (tmp_path / "bad.jsonl").write_text('{"call_id": "a"}\n\n{"call_id": \n{"call_id": "b"}\n')
+    lines = readers.corpus_lines(spark, str(tmp_path / "bad.jsonl")).cache()
+    assert (lines.count(), lines.filter("rejected is not null").count()) == (3, 1)
+    with pytest.raises(Exception):
+        readers.dataset(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_completions_in_odd_shapes(spark):
+    factor = '{"category": "OTP_REQUEST", "severity": "%s", "speaker": "CALLER"}'
+    shapes = [('{"classification": "SCAM", "scam_types": "OTP_THEFT", "confidence": "0.9"}', True), ('[1, 2]', False), ("", False), (None, False),
+              ('text {"classification": "SAFE"} and {more', True), ('{"classification": "SCAM"', False), ('{"confidence": 2}', False),
+              ('{"risk_factors": [' + factor % "BOGUS" + ']}', False), ('{"risk_factors": [' + factor % "HIGH" + ']}', True),
+              ('```json\n{"classification": "SUSPICIOUS"}\n```', True), ('{"classification": "MAYBE"}', False), ('{"explanation": "a } b"}', True)]
+    out = readers.completions(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(shapes)], "i int, completion string")).collect()
+    assert {r.i: r.valid for r in out} == {i: ok for i, (_, ok) in enumerate(shapes)}
+    first = next(r for r in out if r.i == 0)
+    assert first.scam_types == ["OTP_THEFT"] and first.confidence == 0.9
 
 
 def test_reports_and_stored_table(spark, tmp_path):
@@ -48,6 +65,9 @@ def test_reports_and_stored_table(spark, tmp_path):
     changed = spark.read.parquet(path).drop("bucket").withColumn("v", F.lit(1))
     writers.save_table(changed, path, 4)
     assert spark.read.parquet(path).agg(F.sum("v"), F.count("*")).first()[:] == (100, 100)
+    writers.save_table(spark.read.parquet(path).drop("bucket").filter("call_id > 1"), path, 4)
+    writers.save_table(spark.read.parquet(path).drop("bucket").filter("call_id < 4"), path, 64)
+    assert sorted(r.call_id for r in spark.read.parquet(path).collect()) == [2, 3]
     writers.audit(spark.range(3).selectExpr("id AS call_id"), str(tmp_path / "audit"), "save")
     writers.audit(spark.range(2).selectExpr("id AS call_id"), str(tmp_path / "audit"), "read")
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 5
