@@ -192,8 +192,9 @@ def purge_expired(calls: DataFrame, segments: DataFrame, now: Column
     live = F.col("text_masked") != "[purged]"
     if "text_encrypted" in segments.columns:
         live = live | F.col("text_encrypted").isNotNull()
-    counts = calls.agg(F.count_if(rec_due).alias("recordings")).crossJoin(
-        marked.filter(hit & live).agg(F.countDistinct("call_id").alias("transcripts")))
+    both = calls.filter(rec_due).select(F.lit(1).alias("r"), F.lit(None).cast(calls.schema["call_id"].dataType).alias("call_id")) \
+        .unionByName(marked.filter(hit & live).select(F.lit(0).alias("r"), "call_id"))
+    counts = both.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("recordings"), F.countDistinct("call_id").alias("transcripts"))
     changes = {"text_masked": F.when(hit, F.lit("[purged]")).otherwise(F.col("text_masked"))}
     if "text_encrypted" in segments.columns:
         changes["text_encrypted"] = F.when(~hit, F.col("text_encrypted"))

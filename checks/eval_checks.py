@@ -9,7 +9,7 @@ from callward.operators import dataset as D
 from callward.operators import evaluate as E
 from callward.params import dimension
 from callward.sources import writers as W
-from checks.common import check, sql_case, sql_in, table
+from checks.common import SQL_SEGMENTS, check, sql_case, sql_in, sql_ts, table
 from callward.operators.verdict import ACTION_TEXT
 
 # A document is a call: its length gives a score and a predicted class, its labels the gold class.
@@ -316,16 +316,74 @@ def f10(spark, d):
         "doc_id", F.size("full_ids").alias("n"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"))
 
 
-@check("x02_dataset_records", """SELECT conv_id AS call_id, count(*)::INT AS n_segments, 3 AS n_messages FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+@check("x02_dataset_records", f"""WITH {SQL_SEGMENTS}, c0 AS (SELECT conv_id AS call_id, turn AS seq, {_CATSQL} AS category, {_GC} AS gc FROM conversations),
+    ev AS (SELECT c0.call_id, c0.seq, category, start, text FROM c0 JOIN seg USING (call_id, seq) WHERE category IS NOT NULL),
+    g AS (SELECT call_id, any_value(gc) AS gc FROM c0 GROUP BY 1),
+    idn AS (SELECT call_id, min(seq) AS seq FROM seg JOIN g USING (call_id) WHERE speaker = 'CALLER' AND gc = 'SCAM' GROUP BY 1),
+    f AS (SELECT call_id, 1 AS k, seq, category, start, text FROM ev
+      UNION ALL SELECT call_id, 0, seq, 'IMPERSONATION', start, text FROM seg JOIN idn USING (call_id, seq)),
+    fl AS (SELECT call_id, count(*) AS n, string_agg(category || '@' || {sql_ts('start')} || '@' || text, chr(10) ORDER BY k, seq) AS l FROM f GROUP BY 1),
+    sl AS (SELECT call_id, count(*) AS n, string_agg({sql_ts('start')} || '|' || speaker || '|' || text, chr(10) ORDER BY seq) AS l FROM seg GROUP BY 1)
+    SELECT call_id, sl.n::INT AS n_segments, md5(sl.l) AS transcript, gc AS gold_class, coalesce(fl.n, 0)::INT AS n_factors,
+      md5(coalesce(fl.l, '')) AS factors, 3 AS n_messages, gc AS answered FROM sl JOIN g USING (call_id) LEFT JOIN fl USING (call_id)""")
 def x02(spark, d):
+    records = _records(spark, d)
+    line = lambda s: F.concat_ws("|", s["timestamp"], s["speaker"], s["text"])
+    factor = lambda f: F.concat_ws("@", f["category"], f["timestamp"], f["evidence"])
+    md5 = lambda c, of: F.md5(F.array_join(F.transform(c, of), "\n").cast("binary"))
+    return records.select(
+        "call_id", F.size("segments").alias("n_segments"), md5("segments", line).alias("transcript"),
+        F.col("gold.classification").alias("gold_class"), F.size("gold.risk_factors").alias("n_factors"),
+        md5("gold.risk_factors", factor).alias("factors"), F.size("messages").alias("n_messages"),
+        F.get_json_object(F.element_at("messages", 3)["content"], "$.classification").alias("answered"))
+
+
+def _records(spark, d):
     from callward.operators import segments as S
     from callward.operators.verdict import call_facts
     from checks.common import segments
 
-    seg = segments(spark, d)
+    seg, conv = segments(spark, d), table(spark, d, "conversations")
     facts = call_facts(seg)
-    calls = facts.select("call_id")
-    gold = calls.selectExpr("call_id", "'SAFE' AS gold_class", "0.88D AS confidence")
-    prompts = S.prompts(seg, facts, calls.withColumn("dominant", F.lit("unknown")))
-    return D.build_records(seg, calls, gold, prompts).select(
-        "call_id", F.size("segments").alias("n_segments"), F.size("messages").alias("n_messages"))
+    notes = conv.selectExpr("conv_id AS call_id", "turn AS seq", "0 AS ord", f"{_CATSQL} AS category", "'HIGH' AS severity").filter("category IS NOT NULL")
+    gold = conv.groupBy("conv_id").agg(F.expr(f"any_value({_GC})").alias("gold_class")).withColumnRenamed("conv_id", "call_id") \
+        .withColumn("confidence", F.lit(0.9)).join(
+            seg.groupBy("call_id").agg(F.min(F.when(F.col("speaker") == "CALLER", F.col("seq"))).alias("identity_seq")), "call_id")
+    prompts = S.prompts(seg, facts, facts.select("call_id", F.lit("unknown").alias("dominant")))
+    calls = facts.select("call_id", "call_direction", F.lit("f").alias("family"), F.lit("f").alias("family_label"),
+                         F.lit("mixed").alias("language_mode"), F.lit(False).alias("asr_noisy"))
+    return D.build_records(seg, calls, gold, prompts, D.gold_factors(D.annotated_events(notes, seg), gold, seg))
+
+
+@check("k04_replay_round_trip", f"""WITH {SQL_SEGMENTS}, g AS (SELECT conv_id AS call_id, any_value({_GC}) AS gc FROM conversations GROUP BY 1)
+    SELECT call_id::VARCHAR AS call_id, any_value(gc) AS expected, count(*) AS n, md5(string_agg(speaker || '|' || text, chr(10) ORDER BY seq)) AS lines
+    FROM seg JOIN g USING (call_id) GROUP BY 1""")
+def k04(spark, d):
+    """Records written as replay files and read back as calls and turns."""
+    from callward.operators.cut import scratch
+    from callward.sources import readers as R
+
+    path = scratch(spark, "replay") + "/calls"
+    W.replay(_records(spark, d), path)
+    calls = spark.read.schema(R.REPLAY).json(path)
+    turns = R.turns_of(calls).groupBy("call_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("turn", F.concat_ws("|", "speaker", "text").alias("l")))), lambda x: x["l"]), "\n").cast("binary")).alias("lines"))
+    return calls.select("call_id", F.col("expected_classification").alias("expected")).join(turns, "call_id")
+
+
+@check("s02_corpus_lines", """SELECT conv_id AS call_id, count(*) AS n, count(*) FILTER ((conv_id + turn) % 7 = 0) AS rejected FROM conversations GROUP BY 1""")
+def s02(spark, d):
+    """JSON lines of which every seventh is cut off: they are kept aside with their text."""
+    from callward.operators.cut import scratch
+    from callward.sources import readers as R
+
+    path = scratch(spark, "corpus") + "/lines"
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("call_id"), F.col("role").alias("family")))
+    rows = table(spark, d, "conversations").withColumn("l", line).selectExpr("IF((conv_id + turn) % 7 = 0, substr(l, 1, length(l) - 3), l) AS value")
+    rows.write.text(path)
+    found = R.corpus_lines(spark, path)
+    key = F.regexp_extract(F.coalesce("rejected", F.concat(F.lit('{"call_id":"'), F.col("call_id"), F.lit('"'))), '"call_id":"([0-9]+)"', 1)
+    return found.groupBy(key.cast("bigint").alias("call_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("rejected").isNotNull()).alias("rejected"))
+
+

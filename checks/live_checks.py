@@ -365,6 +365,20 @@ def g03h(spark, d):
         left["segments"].agg(F.count("*").alias("n")).select(F.lit("segments").alias("name"), "n"))
 
 
+@check("g03_erased_on_disk", "SELECT o_orderkey AS call_id FROM orders WHERE o_orderstatus <> 'F'")
+def g03d(spark, d):
+    """Delete, save, read back: buckets that lose all their calls must not keep them."""
+    from callward.operators.cut import scratch
+    from callward.sources import writers as W
+
+    path = scratch(spark, "stored") + "/calls"
+    calls = table(spark, d, "orders").selectExpr("o_orderkey AS call_id", "o_orderstatus AS status")
+    W.save_table(calls, path, 64)
+    ids = calls.filter("status = 'F'").select("call_id")
+    W.save_table(ST.hard_delete({"calls": spark.read.parquet(path).drop("bucket")}, ids)["calls"], path, 64)
+    return spark.read.parquet(path).select("call_id")
+
+
 _DUE = f"TIMESTAMP '{_NOW}'"
 
 
