@@ -239,8 +239,8 @@ assessed AS (SELECT *, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_scor
     WHEN risk_score >= 30 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS risk_level,
     CASE WHEN n_crit_harm > 0 OR risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'WARNING'
       WHEN risk_score >= 30 THEN 'MONITOR' ELSE 'NONE' END AS alert_level,
-    CASE WHEN classification = 'SCAM' AND risk_score < 60 THEN 'verdict SCAM but score below warning'
-      WHEN classification = 'SAFE' AND risk_score >= 60 THEN 'verdict SAFE but score at warning or above' END AS disagreement FROM a4)
+    CASE WHEN classification = 'SCAM' AND risk_score < 60 THEN 'the verdict says SCAM, the score stays below WARNING'
+      WHEN classification = 'SAFE' AND risk_score >= 60 THEN 'the verdict says SAFE, the score reaches WARNING' END AS disagreement FROM a4)
 """
 
 
