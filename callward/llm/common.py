@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             yield batch.slice(a, b - a)
 
 
+def squeezed(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, packed): texts compressed before they travel; nulls are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", limit):
+                raw = [zlib.compress(t, 1) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text")) \
+        .mapInArrow(run, "doc_id long, packed binary")
+
+
+def opened(packed: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x).decode("utf-8", "replace") for x in packed.to_pylist()], pa.string())
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
     """(word codes of all texts, where each text's codes begin and the last end, distinct words).
 

@@ -2,7 +2,7 @@
 
 Sketch: of HASHES minima over a document's distinct five-word shingles only the low four bits are
 kept, packed sixteen to a 64-bit word.  Bands of ROWS full minima give the candidates; a pair of
-similarity 0.75 misses all bands with a probability of about 2e-6.  A candidate's similarity is
+similarity 0.75 misses all bands with a probability of about 2e-5.  A candidate's similarity is
 estimated by bit counts, corrected for chance agreement of four bits, and pairs more than MARGIN
 below the threshold are dropped; the rest is confirmed on the full shingle sets.
 
@@ -10,11 +10,12 @@ Groups are never expanded into all pairs:
 1. Equal shingle sets become one representative (the smallest id) by a partial aggregate.
 2. In each bucket of a band every member is compared with two leaders.  Confirmed links give
    components.
-3. Only where a bucket still holds several components are members outside its largest one
-   compared with the others of the bucket, in blocks of BLOCK x BLOCK signatures, and the best
-   few of each are confirmed.
-4. What remains apart after that is compared in full, so that no link is lost: two documents that
-   share a band are either compared or known to be in one component already.
+3. Where a bucket still holds several components, members outside its largest one are compared
+   with the others of the bucket in blocks of BLOCK x BLOCK signatures.  What comes out is not pairs
+   of documents but which component a member may belong to.
+4. Such a member meets the texts of that component in cells of CELL x CELL and is confirmed on full
+   sets, best estimate first, until a link is found.  So no link is lost: two documents that share a
+   band are either compared or known to be in one component.
 
 Lower-casing is of A-Z, words stand between ASCII white space.  Documents without words, null texts
 and null ids are linked with nothing; such a document is its own component (null for a null id, and
@@ -34,16 +35,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callward.llm.common import slices, split_words
+from callward.llm.common import opened, slices, split_words, squeezed
 from callward.operators.cut import materialize
 
 WORDS = 5
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 56, 6
 HASHES = BANDS * ROWS
 SHARE = (75, 100)
-MARGIN = 0.12
+MARGIN = 0.1
+LEAST = SHARE[0] / SHARE[1] - MARGIN
 BLOCK = 2048
-FEW = 8
+CELL = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NIBBLES = np.uint64(0x1111111111111111)
 
@@ -138,22 +140,32 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differ / HASHES) - 1 / 16) / (1 - 1 / 16)
 
 
+def _common(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * share[1] >= (len(a) + len(b) - both) * share[0]
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the wanted documents, materialized; rows of one id give one text."""
+    wanted = squeezed(docs).join(ids, "doc_id", "left_semi")
+    return materialize(wanted.groupBy("doc_id").agg(F.min("packed").alias("packed")), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            for part in slices(batch, "tb", 1 << 20):
+                firsts = part.column("ta").dictionary_encode()
+                of_a = shingle_sets(opened(firsts.dictionary))
+                good = [_common(of_a[k], s, share) for k, s in
+                        zip(firsts.indices.to_pylist(), shingle_sets(opened(part.column("tb"))), strict=True)]
+                yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a") \
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("__common", common).where(
-        F.col("__common") * share[1] >= (F.size("sa") + F.size("sb") - F.col("__common")) * share[0]).select("a", "b").distinct()
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), "a") \
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,46 +199,38 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(moved.join(labels, "node", "left_anti")), "labels")
 
 
-def _cross(rest_of_group: int | None):
-    """Compare members outside a bucket's largest component with its other members, block by block."""
-    def block(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of cells sorted by g: which component a member may be linked to, by the estimates."""
+    def cell(g: pd.DataFrame) -> pd.DataFrame:
         asks = g["ask"].to_numpy()
         own, other = g[asks], g[~asks]
-        if not len(own) or not len(other):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        sig = np.stack(other["sig"].to_numpy()).view(np.uint64)
-        ids, comps = other["rep"].to_numpy(), other["comp"].to_numpy()
-        out: list[tuple[np.ndarray, ...]] = []
-        for s, rep, comp in zip(own["sig"], own["rep"], own["comp"], strict=True):
-            est = _estimates(np.asarray(s).view(np.uint64), sig)
-            est[comps == comp] = -1
-            good = np.flatnonzero(est >= SHARE[0] / SHARE[1] - MARGIN)
-            if rest_of_group is not None and len(good) > rest_of_group:
-                good = good[np.argsort(-est[good], kind="stable")[:rest_of_group]]
-            out.append((np.full(len(good), rep), ids[good], est[good]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows["g"] == rows["g"].iloc[-1]).to_numpy() if len(rows) else np.zeros(0, bool)
-            held, rows = rows[last], rows[~last]
-            found = [block(x) for _, x in rows.groupby("g", sort=False)]
-            if found:
-                a, b, _ = (np.concatenate(x) for x in zip(*found, strict=True))
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        if held is not None and len(held):
-            a, b, _ = block(held)
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return run
-
-
-def _remaining(buckets: DataFrame, sigs: DataFrame, labels: DataFrame | None, few: int | None) -> DataFrame:
-    """Candidate pairs across the components that still share a bucket."""
+        ids, comps = [], []
+        if len(own) and len(other):
+            sig, theirs = np.stack(other["sig"].to_numpy()).view(np.uint64), other["comp"].to_numpy()
+            for s, rep, comp in zip(own["sig"], own["rep"], own["comp"], strict=True):
+                near = (_estimates(np.asarray(s).view(np.uint64), sig) >= LEAST) & (theirs != comp)
+                found = np.unique(theirs[near]).tolist()
+                ids += [rep] * len(found)
+                comps += found
+        return pd.DataFrame({"rep": np.array(ids, np.int64), "comp": np.array(comps, np.int64)})
+
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows["g"] == rows["g"].iloc[-1]).to_numpy()
+        held, rows = rows[last], rows[~last]
+        found = [cell(x) for _, x in rows.groupby("g", sort=False)]
+        if found:
+            yield pd.concat(found).drop_duplicates()
+    if held is not None:
+        yield cell(held).drop_duplicates()
+
+
+def _across(buckets: DataFrame, sigs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, comp): members outside their bucket's largest component, and the other components of the
+    bucket that hold a signature near theirs."""
     rows = buckets.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left") \
         .withColumn("comp", F.coalesce("comp", "rep"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -235,16 +239,58 @@ def _remaining(buckets: DataFrame, sigs: DataFrame, labels: DataFrame | None, fe
         .select("key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / BLOCK).alias("across"),
                 F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("down"))
     own = rows.join(mixed, "key").join(sigs, "rep")
-    cell = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
     asks = own.where("comp <> top").select(
-        "key", "rep", "comp", "sig", F.lit(True).alias("ask"), cell(F.col("down"), 1).alias("y"),
+        "key", "rep", "comp", "sig", F.lit(True).alias("ask"), _slot("rep", F.col("down"), 1).alias("y"),
         F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"))
     told = own.select(
         "key", "rep", "comp", "sig", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
-        cell(F.col("across"), 2).alias("x"))
-    dealt = asks.unionByName(told, allowMissingColumns=False).withColumn("g", F.xxhash64("key", "x", "y"))
+        _slot("rep", F.col("across"), 2).alias("x"))
+    dealt = asks.unionByName(told).withColumn("g", F.xxhash64("key", "x", "y"))
     return dealt.select("g", "rep", "comp", "sig", "ask").repartition("g").sortWithinPartitions("g") \
-        .mapInPandas(_cross(few), "a long, b long").distinct()
+        .mapInPandas(_asked, "rep long, comp long").distinct()
+
+
+def _slot(column: str, n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(seed)), n)
+
+
+def _joined(asked: DataFrame, sigs: DataFrame, labels: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of the asked members to members of the asked components.
+
+    Members meet in cells of CELL x CELL texts; a member's candidates are confirmed on the full sets,
+    best estimate first, until one is linked: a second link to the same component adds nothing.
+    """
+    nodes = labels.select("node", "comp").unionByName(
+        asked.select(F.col("comp").alias("node"), "comp").distinct().join(labels.select("node"), "node", "left_anti").select("node", "comp"))
+    theirs = nodes.join(asked.select("comp").distinct(), "comp", "left_semi").select("comp", F.col("node").alias("rep"))
+    sizes = theirs.groupBy("comp").agg(F.count("*").alias("n")).join(asked.groupBy("comp").agg(F.count("*").alias("m")), "comp") \
+        .select("comp", F.ceil(F.col("n") / CELL).alias("across"), F.ceil(F.col("m") / CELL).alias("down"))
+    texts = _texts(docs, asked.select("rep").union(theirs.select("rep")).distinct().withColumnRenamed("rep", "doc_id")) \
+        .withColumnRenamed("doc_id", "rep")
+    asks = asked.join(sizes, "comp").select(
+        "comp", "rep", F.lit(True).alias("ask"), _slot("rep", F.col("down"), 3).alias("y"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"))
+    told = theirs.join(sizes, "comp").select(
+        "comp", "rep", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), _slot("rep", F.col("across"), 4).alias("x"))
+    dealt = asks.unionByName(told).join(sigs, "rep").join(texts, "rep")
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["ask"].to_numpy()
+        own, other = rows[asks], rows[~asks]
+        out = []
+        if len(own) and len(other):
+            sig, ids = np.stack(other["sig"].to_numpy()).view(np.uint64), other["rep"].to_numpy()
+            sets = shingle_sets(opened(pa.array(other["packed"], pa.binary())))
+            for s, rep, mine in zip(own["sig"], own["rep"], shingle_sets(opened(pa.array(own["packed"], pa.binary()))), strict=True):
+                est = _estimates(np.asarray(s).view(np.uint64), sig)
+                for k in np.argsort(-est, kind="stable"):
+                    if est[k] < LEAST:
+                        break
+                    if _common(mine, sets[k], share):
+                        out.append((min(rep, ids[k]), max(rep, ids[k])))
+                        break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("comp", "x", "y").applyInPandas(lambda rows: cell(rows), "a long, b long")
 
 
 def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -265,13 +311,11 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a") \
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b") \
-        .where(estimated(F.col("sa"), F.col("sb")) >= share[0] / share[1] - MARGIN).select("a", "b").distinct()
+        .where(estimated(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b").distinct()
     labels = components(confirmed(materialize(near, "near"), docs, share))
-    for few in (FEW, None):
-        more = materialize(_remaining(buckets.select("key", "rep"), sigs, labels, few), "more")
-        if more.isEmpty():
-            break
-        labels = _merged(labels, confirmed(more, docs, share))
+    asked = materialize(_across(buckets.select("key", "rep"), sigs, labels), "asked")
+    if not asked.isEmpty():
+        labels = _merged(labels, materialize(_joined(asked, sigs, labels, docs, share), "joined"))
     comp = labels.select(F.col("node").alias("rep"), "comp")
     of_set = members.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = known.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
