@@ -120,7 +120,7 @@ def test_op4_blocks_give_the_same(spark, monkeypatch):
     rows = lambda: sorted((r["doc_id"], r["component_id"]) for r in minhash.groups(docs).collect())
     want = rows()
     monkeypatch.setattr(minhash, "BLOCK", 3)
-    monkeypatch.setattr(minhash, "FEW", 1)
+    monkeypatch.setattr(minhash, "CELL", 2)
     assert rows() == want
 
 
