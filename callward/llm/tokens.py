@@ -22,19 +22,21 @@ itself.  An empty table gives an empty result.  Special tokens in a text are ord
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callward.llm.common import slices
 
 # Fixed value of the byte-level vocabulary: how it splits a text into pre-tokens.
-PRETOKENS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRETOKENS = regex.compile(PATTERN)
 BEFORE = 2
 
 
@@ -44,16 +46,15 @@ class Counter:
     KEPT = 400_000
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        """`path`: the vocabulary as lines of a base64 token and its rank."""
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, int] = {}
         self.asked = 0
 
     def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return len(self.encoding.encode_ordinary(text))
 
     def counts(self, parts: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -62,10 +63,9 @@ class Counter:
         if None in found:
             if len(self.known) > self.KEPT:
                 self.known.clear()
-            new = list(set(parts).difference(self.known))
-            codes = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((w, len(c)) for w, c in zip(new, codes, strict=True))
-            found = list(map(self.known.__getitem__, parts))
+            for k, n in enumerate(found):
+                if n is None:
+                    found[k] = self.known[parts[k]] = len(self.encoding.encode_ordinary(parts[k]))
         return np.array(found, np.int32)
 
 
@@ -175,7 +175,7 @@ def counter_of(path: str) -> Counter:
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def build(docs: DataFrame, path: str) -> DataFrame:
