@@ -62,7 +62,7 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np
     room = np.repeat(starts + sizes, sizes) - np.arange(len(points))
     of, at = [np.arange(len(words))], [_bucket(whole, 1, shape.bits)]
     h = points.copy()
-    for n in range(2, shape.longest + 1):
+    for n in range(2, min(shape.longest, len(points)) + 1):
         h[:len(points) - n + 1] = h[:len(points) - n + 1] * Q + points[n - 1:]
         if n >= shape.shortest:
             ok = np.flatnonzero(room >= n)
