@@ -10,8 +10,8 @@ Groups are never expanded into all pairs:
 1. Equal shingle sets become one representative (the smallest id) by a partial aggregate.
 2. In each bucket of a band every member is compared with two leaders.  Confirmed links give
    components.
-3. Where a bucket still holds several components, members outside its largest one are compared
-   with the others of the bucket in blocks of BLOCK x BLOCK signatures.  What comes out is not pairs
+3. Where a bucket still holds several components beside its leaders, members outside the largest
+   one are compared with the others in blocks of BLOCK x BLOCK signatures.  What comes out is not pairs
    of documents but which component a member may belong to.
 4. Such a member meets the texts of that component in cells of CELL x CELL and is confirmed on full
    sets, best estimate first, until a link is found.  So no link is lost: two documents that share a
@@ -313,7 +313,9 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b") \
         .where(estimated(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b").distinct()
     labels = components(confirmed(materialize(near, "near"), docs, share))
-    asked = materialize(_across(buckets.select("key", "rep"), sigs, labels), "asked")
+    # the leaders have met every member
+    others = buckets.where("rep <> one and rep <> two").select("key", "rep")
+    asked = materialize(_across(others, sigs, labels), "asked")
     if not asked.isEmpty():
         labels = _merged(labels, materialize(_joined(asked, sigs, labels, docs, share), "joined"))
     comp = labels.select(F.col("node").alias("rep"), "comp")
