@@ -371,6 +371,29 @@ def k04(spark, d):
     return calls.select("call_id", F.col("expected_classification").alias("expected")).join(turns, "call_id")
 
 
+@check("k01_jsonl", """SELECT doc_id, md5(text) AS text, count(*) OVER () AS written FROM documents""")
+def k01(spark, d):
+    """Whole texts written as JSON lines, with the count taken while writing, and read back."""
+    from callward.operators.cut import scratch
+
+    path = scratch(spark, "jsonl") + "/rows"
+    n = W.jsonl(table(spark, d, "documents").select("doc_id", "text"), path)
+    return spark.read.schema("doc_id bigint, text string").json(path).select(
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.lit(n).cast("bigint").alias("written"))
+
+
+@check("k02_by_split", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents""")
+def k02(spark, d):
+    """Rows written by split and read back folder by folder."""
+    from callward.operators.cut import scratch
+
+    path = scratch(spark, "splits") + "/rows"
+    split = F.expr("CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END")
+    W.by_split(table(spark, d, "documents").select("doc_id", split.alias("split")), path)
+    parts = [spark.read.schema("doc_id bigint").json(f"{path}/split={x}").select("doc_id", F.lit(x).alias("split")) for x in D.SPLITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @check("s02_corpus_lines", """SELECT conv_id AS call_id, count(*) AS n, count(*) FILTER ((conv_id + turn) % 7 = 0) AS rejected FROM conversations GROUP BY 1""")
 def s02(spark, d):
     """JSON lines of which every seventh is cut off: they are kept aside with their text."""
