@@ -218,6 +218,17 @@ def test_passages_found_where_they_repeat(spark, odd, none):
     assert passages.repeated(none).count() == 0
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_an_insertion_counts_alike_in_both_texts(swap):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    before, after = fresh(26), fresh(26)
+    short, long = np.concatenate((fresh(70), before, fresh(4), after, fresh(40))), np.concatenate((fresh(30), before, fresh(9), after, fresh(50)))
+    a, b = (long, short) if swap else (short, long)
+    want = [(30, 91), (70, 126)] if swap else [(70, 126), (30, 91)]
+    assert passages.best_stretches(a, b, 46) == [(*want[0], *want[1])]
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
