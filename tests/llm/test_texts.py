@@ -229,6 +229,17 @@ def test_an_insertion_counts_alike_in_both_texts(swap):
     assert passages.best_stretches(a, b, 46) == [(*want[0], *want[1])]
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_a_line_that_also_stands_before_the_passage(spark, swap):
+    rng = random.Random(4)
+    fresh = lambda n: [f"v{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage = fresh(51)
+    rows = [fresh(60) + passage[20:30] + fresh(10) + passage + fresh(60), fresh(20) + passage + fresh(25)]
+    want = {(80, 131), (20, 71)}
+    out = passages.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows[::-1] if swap else rows)], "doc_id long, text string"))
+    assert {(r["start_word"], r["end_word"]) for r in out.collect()} == want
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
