@@ -240,6 +240,23 @@ def test_a_line_that_also_stands_before_the_passage(spark, swap):
     assert {(r["start_word"], r["end_word"]) for r in out.collect()} == want
 
 
+def test_passages_near_the_threshold_are_found(spark):
+    """Every pair of documents with an edited passage, each pair on its own."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for k in range(500):
+        passage = [f"p{k}w{n}" for n in range(54)]
+        changed = list(passage)
+        changed[27] = "zz"
+        own, other = ({tuple(w[n:n + 5]) for n in range(50)} for w in (passage, changed))
+        assert len(own & other) / len(own | other) >= 0.75
+        for i, w in ((2 * k, passage), (2 * k + 1, changed)):
+            rows.append((i, " ".join([f"x{rng.randint(0, 10**9)}" for _ in range(30)] + w + [f"x{rng.randint(0, 10**9)}" for _ in range(30)])))
+            want.add((i, 2 * k))
+    out = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["passage_of"]) for r in out} == want
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
