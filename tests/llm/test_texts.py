@@ -257,6 +257,23 @@ def test_passages_near_the_threshold_are_found(spark):
     assert {(r["doc_id"], r["passage_of"]) for r in out} == want
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_passages_behind_a_frequent_line_are_found(spark, monkeypatch, block):
+    """Pairs of documents that share a passage, which holds a line that stands in all documents."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    line, rows, want = fresh(38), [], set()
+    for k in range(60):
+        passage = fresh(6) + line + fresh(7)
+        for i in (k, 100 + k * 37 % 60):
+            rows.append((i, " ".join(fresh(40) + passage + fresh(40))))
+            want.add((i, 40, 91, k))
+    rows += [(200 + k, " ".join(fresh(50) + line + fresh(50))) for k in range(60)]
+    monkeypatch.setattr(passages, "BLOCK", block)
+    out = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["passage_of"]) for r in out} == want
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
