@@ -7,8 +7,8 @@ receives at most as many hashes as its host has boilerplate lines, which is at m
 number of lines a page divided by the ratio.
 
 A page that boilerplate lines would leave without any text keeps it all: whole-page copies belong
-to near-duplicate removal.  Hosts of fewer than `min_pages` pages, where a share says little, keep
-everything.  Lines that are empty or white space are never counted nor removed.  A null host is a
+to near-duplicate removal.  The ratio holds for hosts of every size, a line on one page only is never
+boilerplate; a `min_pages` above 1 lets hosts of fewer pages keep everything.  Lines that are empty or white space are never counted nor removed.  A null host is a
 host of its own; null texts stay null; repeated rows count as pages; an empty table stays empty.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.1
-MIN_PAGES = 20
+MIN_PAGES = 1
 
 
 def _lines(text: Column) -> Column:

@@ -93,7 +93,8 @@ k AS (SELECT doc_id, r.source, text, array_to_string(list_filter(ls, lambda x: N
 SELECT doc_id, source, CASE WHEN trim(replace(kept, chr(10), ''), ' ') <> '' THEN kept ELSE text END AS text FROM k
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+    # the SQL above leaves out hosts of fewer than 20 pages
+    return lines.dedup(table(spark, sf_dir, "documents"), min_pages=20).select("doc_id", "source", "text")
 
 
 @query("op6_best_fit_packing")

@@ -138,6 +138,12 @@ def test_line_dedup_removes_what_a_host_repeats(spark, odd, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_line_dedup_counts_small_hosts_alike(spark):
+    rows = [(i, f"menu line\nown {i}", "h") for i in range(19)] + [(50, "one page\nonly", "single")]
+    got = by_id(lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(got[i]["text"] == f"own {i}" for i in range(19)) and got[50]["text"] == "one page\nonly"
+
+
 # --- near-duplicates ----------------------------------------------------------------------
 
 
