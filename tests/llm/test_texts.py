@@ -276,7 +276,7 @@ def test_passages_behind_a_frequent_line_are_found(spark, monkeypatch, block):
             want.add((i, 40, 91, k))
     rows += [(200 + k, " ".join(fresh(50) + line + fresh(50))) for k in range(60)]
     monkeypatch.setattr(passages, "BLOCK", block)
-    out = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    out = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hashes=1, agree=1).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["passage_of"]) for r in out} == want
 
 
