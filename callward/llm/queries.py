@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import ann, decontaminate, lines, minhash, packing, passages, quality, tokens, toxicity, warc
+from callward.llm import ann, decontaminate, lines, minhash, packing, passages, periodic, quality, tokens, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -139,3 +139,31 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+PLANTED = r"""
+CASE WHEN h % 10 = 0 AND size(words) > 0 THEN array_join(concat(slice(words, 1, int(g % size(words))),
+  transform(sequence(int(g % size(words)), size(words) - 1), i -> words[int(g % size(words)
+    + (i - g % size(words)) % (1 + (size(words) - g % size(words)) div (3 + g % 8)))])), ' ') ELSE text END
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten repeats its tail with a period, as the ids say."""
+    plain = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, plain).alias("words")) \
+        .select("doc_id", F.expr(PLANTED).alias("text"))
+
+
+@query("op12_repeated_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of the largest exact length / period, and digests of all runs and of the collapsed text."""
+    found = periodic.runs(planted(table(spark, sf_dir, "documents")))
+    best = F.expr("aggregate(runs, cast(null AS struct<start:bigint,length:bigint,period:bigint>), (best, r) -> "
+                  "CASE WHEN best IS NULL OR r.length * best.period > best.length * r.period THEN r ELSE best END)")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
