@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callward.llm import ann, decontaminate, lines, minhash, packing, passages, periodic, quality, tokens, toxicity, warc
+from callward.llm import ann, decontaminate, idfiles, lines, minhash, negatives, packing, passages, periodic, quality, tokens, toxicity, warc
 from callward.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -141,6 +141,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query("op11_hard_negatives", """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.p, p.ps, s.b, s.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 50 * p.ps <= 100 * s.s AND 100 * s.s <= 95 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM n WHERE rank <= 3
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.rows(table(spark, sf_dir, "embeddings"), label=moved), F.col("id") % 50 == 0)
+
+
 PLANTED = r"""
 CASE WHEN h % 10 = 0 AND size(words) > 0 THEN array_join(concat(slice(words, 1, int(g % size(words))),
   transform(sequence(int(g % size(words)), size(words) - 1), i -> words[int(g % size(words)
@@ -167,3 +185,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_id_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, folder = idfiles.archive(table(spark, sf_dir, "documents"), idfiles.tokenizer_path(), end_id=2)
+    return idfiles.read(directory, folder)
