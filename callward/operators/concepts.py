@@ -50,14 +50,14 @@ def position(seq: Column, clause_ix: Column) -> Column:
 
 
 def clauses(segments: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.ActMarkers(),
-            conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS) -> DataFrame:
-    """segments(call_id, seq, speaker, start, text) -> one row per clause.
+            conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """segments(call_id, seq, speaker, start, text) -> one row per clause, with the columns of `keep`.
 
     `prior_*` tell whether an earlier clause of the utterance named a one-time
     code, any credential, or said that nobody asks for one.  An utterance without
     words keeps one empty clause.
     """
-    carried = [c for c in ("end", "confidence", "call_direction") if c in segments.columns]
+    carried = [c for c in ("end", "confidence", "call_direction", *keep) if c in segments.columns]
     parts = T.split_clauses(F.col("text"), conjunctions)
     base = segments.select(
         "call_id", "seq", "speaker", "start", *carried,

@@ -20,7 +20,7 @@ from callward.operators.verdict import lookup
 def updates(segments: DataFrame, step: int = 1, window: int = vocab.CONTEXT_WINDOW) -> DataFrame:
     """Rows of every prefix window: (call_id, upd, seq, ...); `upd` is the last segment heard.
 
-    Each segment takes part in at most `window` updates, so the output is bounded
+    `segments` may hold several rows per segment, such as clauses.  Each takes part in at most `window` updates, so the output is bounded
     by the input whatever the length of a call.
     """
     n = segments.groupBy("call_id").agg((F.max("seq") + 1).alias("_n"))

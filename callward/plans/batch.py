@@ -36,10 +36,21 @@ def analyze(segments: DataFrame, lexicon: Lexicon, markers: ActMarkers = ActMark
             conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS, realtime: bool = False,
             cut: bool = True) -> Analysis:
     """segments(call_id, seq, speaker, start, end, text, confidence, call_direction)."""
-    rows = concepts.clauses(segments, lexicon, markers, conjunctions)
-    sig = sequence.signals(rows).drop("padded")
-    if cut:
-        sig = materialize(sig)
+    sig = signal_rows(segments, lexicon, markers, conjunctions)
+    return analyze_signals(materialize(sig) if cut else sig, realtime, cut)
+
+
+def signal_rows(segments: DataFrame, lexicon: Lexicon, markers: ActMarkers = ActMarkers(),
+                conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the rules need of every utterance, whatever call or window it is looked at in.
+
+    A projection of the segments, which streams as well; `keep` names columns to carry along.
+    """
+    return sequence.signals(concepts.clauses(segments, lexicon, markers, conjunctions, keep)).drop("padded")
+
+
+def analyze_signals(sig: DataFrame, realtime: bool = False, cut: bool = True) -> Analysis:
+    """The analysis from signal rows on; they are read several times."""
     context = sequence.in_context(sig, sequence.context_marks(sig))
     if cut:
         context = materialize(context)

@@ -27,12 +27,19 @@ class Replay:
 def analyze_updates(segments: DataFrame, lexicon: Lexicon, markers: ActMarkers = ActMarkers(),
                     conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS, step: int = 1,
                     only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scored updates, events per update); `only(call_id, upd)` restricts the updates."""
-    windows = live.updates(segments, step)
+    """(scored updates, events per update); `only(call_id, upd)` restricts the updates.
+
+    Clauses, concepts and speech acts are found once per utterance; the windows repeat their small rows.
+    """
+    windows = live.updates(materialize(batch.signal_rows(segments, lexicon, markers, conjunctions)), step)
     if only is not None:
         windows = windows.join(only, ["call_id", "upd"], "left_semi")
-    scored = batch.score_calls(batch.analyze(
-        live.as_calls(windows), lexicon, markers, conjunctions, realtime=True))
+    return analyze_windows(windows)
+
+
+def analyze_windows(windows: DataFrame, realtime: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(scored updates, events per update) of signal rows that repeat for every update they are heard in."""
+    scored = batch.score_calls(batch.analyze_signals(live.as_calls(windows), realtime))
     updates = live.from_calls(scored.assessed.select(
         "call_id", "classification", "confidence", "risk_score", "risk_level", "stage", "tactics", "scam_types"))
     updates = updates.withColumnRenamed("classification", "model_classification").withColumn("n_seen", F.col("upd") + 1)

@@ -1,18 +1,28 @@
 """Live calls on Structured Streaming.
 
-Turns arrive as files or messages keyed by call.  Each micro-batch analyses only
-the windows of its new turns with the batch plan and appends scored updates; a
-stateful operator then keeps peak, seen events and alert level per call.
+Turns arrive as files or messages keyed by call.  Three steps, each reading only what is new:
+
+1. `utterances` and `batch.signal_rows`, projections in the JVM: cleanup, clauses, concepts, speech acts.
+2. `CallContext`, a stateful operator: numbers and times the turns of a call, holds the last forty
+   and repeats them for every new turn as the window that is to be analysed; when the call closes or
+   falls silent, it gives all of them back once for the full analysis.
+3. `LiveScorer`, a foreachBatch function: the rules of the batch plan over these windows.
+
+`monitor` then holds peak, stages, labels, seen events and alert level per call, from the updates that
+step 3 writes.  Nothing that has landed is read again.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callward import vocab
@@ -20,14 +30,15 @@ from callward.functions import text as T
 from callward.operators.cut import materialize
 from callward.params import Lexicon
 from callward.plans import batch
-from callward.plans.live import analyze_updates
+from callward.plans.live import analyze_windows
 
 TURN = ("call_id string, seq bigint, speaker string, start double, end double, text string, "
-        "confidence double, call_direction string, ts timestamp")
-UPDATE = ("call_id string, upd bigint, risk_score int, stage string, tactics array<string>, "
+        "confidence double, call_direction string, ts timestamp, closed boolean")
+UPDATE = ("call_id string, upd bigint, kind string, risk_score int, stage string, tactics array<string>, scam_types array<string>, "
           "events array<struct<category:string,sec:bigint,severity:string,quote:string>>, ts timestamp")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_TTL_MS = 24 * 3600 * 1000
+IDLE_SECONDS = 1800
+CLOSING = 2**62  # sorts the closing row of a call behind its turns
 
 
 def turn_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, fmt: str = "json") -> DataFrame:
@@ -49,90 +60,269 @@ def tumbling(turns: DataFrame, width: str = "8 seconds", delay: str | None = "1
     return marked.groupBy("call_id", F.window("ts", width)).agg(F.count("*").alias("n"))
 
 
+# --- windows -----------------------------------------------------------------------------
+
+
+def utterances(turns: DataFrame, clean: bool = False, stems: tuple[str, ...] = ()) -> DataFrame:
+    """Turns with text, cleaned if asked for, and the closing rows; without a number a turn goes by its time."""
+    rows = turns.withColumns({
+        "closed": F.coalesce("closed", F.lit(False)), "text": T.strip(F.coalesce("text", F.lit(""))),
+    }).filter("closed OR text <> ''").select(
+        "call_id", F.when(F.col("closed"), F.lit(CLOSING)).otherwise(F.coalesce("seq", F.unix_millis("ts"))).alias("seq"),
+        F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), "start", "end", "text",
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0)))).alias("confidence"),
+        F.coalesce("call_direction", F.lit("unknown")).alias("call_direction"), "ts", F.unix_micros("ts").alias("us"), "closed",
+        F.length("text").alias("n_chars"), F.xxhash64("text").alias("body"))
+    return T.normalize(rows, "text", stems).drop("text").withColumnRenamed("text_clean", "text") if clean else rows
+
+
+class CallContext(StatefulProcessor):
+    """Signal rows of new turns in, rows of windows out, with the update they belong to.
+
+    A turn that was sent again, or lies before the window, is given as `late` (update -1) and changes
+    nothing.  Turns are numbered in the order of `seq` within a micro-batch, then of arrival.  A missing
+    start follows the clock of the call: the given end of the turn before, or its start and a cadence.
+    A call ends with its closing row, or when the watermark is `idle` seconds past its last turn; it then
+    gives all its rows once as `final`, as the update after the last.  After a closing row later turns are
+    late for as long; a call that speaks again after a silence begins anew.
+
+    State per call: counters, the window as one value, and a list that grows with the live call and is
+    gone with it.  A key's rows of one micro-batch are held in memory.
+    """
+
+    AT_ONCE = 50_000
+
+    def __init__(self, columns: list[tuple[str, str]], window: int = vocab.CONTEXT_WINDOW, idle: int = IDLE_SECONDS,
+                 cadence: float = 6.0):
+        """`columns`: name and type of the signal columns, in order."""
+        self.columns, self.window, self.idle, self.cadence = columns, window, idle, cadence
+        self.names = [c for c, _ in columns]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "n bigint, clock double, last_ms bigint, closed boolean")
+        self.recent = handle.getValueState("recent", "turns string")
+        self.whole = handle.getListState("whole", "turn string")
+
+    def _turns(self, frames: Iterator[pd.DataFrame]) -> tuple[list[tuple[int, int, list[dict]]], bool, int]:
+        """(number, characters and rows of each turn, whether the call closes, its newest time in milliseconds)."""
+        rows = pd.concat(list(frames), ignore_index=True)
+        newest = rows["us"].max()
+        closing = rows["closed"].astype(bool)
+        rows = rows[~closing]
+        # of a number that was sent with several texts the first one counts
+        rows = rows[rows["body"] == rows.groupby("seq")["body"].transform("first")]
+        rows = rows.sort_values(["seq", "clause_ix"], kind="stable").drop_duplicates(["seq", "clause_ix"])
+        out: list[tuple[int, int, list[dict]]] = []
+        for number, own in rows.groupby("seq", sort=True):
+            plain = own[self.names].astype(object).where(own[self.names].notna(), None).to_dict("records")
+            out.append((int(number), int(own["n_chars"].iloc[0]), plain))
+        return out, bool(closing.any()), 0 if pd.isna(newest) else int(newest) // 1000
+
+    def _timed(self, rows: list[dict], chars: int, n: int, clock: float) -> tuple[list[dict], float]:
+        """Rows of a turn with its number and times in the call, and when the next turn begins."""
+        speaking = max(2.0, min(9.0, chars / 14.0))
+        start, end = rows[0]["start"], rows[0]["end"]
+        begins = clock if start is None else float(start)
+        after = begins + max(self.cadence, speaking + 0.6) if end is None else float(end) + max(self.cadence - speaking, 0.6)
+        ends = max(begins, begins + speaking if end is None else float(end))
+        return [row | {"seq": n, "pos": (n << 32) + int(row["clause_ix"]), "start": begins, "end": ends} for row in rows], after
+
+    def _frame(self, key: tuple, rows: list[dict], upds: list[int], kind: str) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.names)
+        for c, t in self.columns:
+            out[c] = out[c].astype({"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "bool"}.get(t, "object"))
+        out.insert(0, "call_id", key[0])
+        return out.assign(upd=pd.Series(upds, dtype="int64"), kind=kind)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, clock, last, closed = self.head.get() if self.head.exists() else (0, 1.5, 0, False)
+        turns, closes, newest = self._turns(rows)
+        held = json.loads(self.recent.get()[0]) if self.recent.exists() else []
+        known = {number for number, _ in held}
+        late: list[dict] = []
+        out: list[dict] = []
+        upds: list[int] = []
+        fresh = []
+        for number, chars, own in turns:
+            if closed or number in known or (len(held) == self.window and number < min(known)):
+                late += own
+                continue
+            own, clock = self._timed(own, chars, n, clock)
+            raw = json.dumps(own, default=_plain)
+            own = json.loads(raw)
+            fresh.append((raw,))
+            held.append([number, own])
+            known.add(number)
+            if len(held) > self.window:
+                known.discard(held.pop(0)[0])
+            for _, each in held:
+                out += each
+                upds += [n] * len(each)
+            n += 1
+            if len(out) > self.AT_ONCE:
+                yield self._frame(key, out, upds, "update")
+                out, upds = [], []
+        if out:
+            yield self._frame(key, out, upds, "update")
+        if late:
+            yield self._frame(key, late, [-1] * len(late), "late")
+        if fresh:
+            self.whole.appendList(fresh)
+            self.recent.update((json.dumps(held),))
+        if closes and not closed:
+            yield from self._final(key, n)
+            closed = True
+        last = max(last, newest)
+        self.head.update((n, clock, last, closed))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + 1000 * self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.head.exists():
+            n, _, _, closed = self.head.get()
+            if not closed:
+                yield from self._final(key, n)
+            self.head.clear()
+
+    def _final(self, key: tuple, n: int) -> Iterator[pd.DataFrame]:
+        """All rows of the call, some at a time; they leave the state."""
+        rows: list[dict] = []
+        for (turn,) in self.whole.get() if self.whole.exists() else ():
+            rows += json.loads(turn)
+            if len(rows) > self.AT_ONCE:
+                yield self._frame(key, rows, [n] * len(rows), "final")
+                rows = []
+        if rows:
+            yield self._frame(key, rows, [n] * len(rows), "final")
+        self.whole.clear()
+        self.recent.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """Numbers of numpy as Python's own."""
+    return value.item()
+
+
+def windows(turns: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.ActMarkers(),
+            conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS, clean: bool = False, window: int = vocab.CONTEXT_WINDOW,
+            idle: int = IDLE_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Stream of turns -> stream of window rows: call_id, the signal columns, upd, kind (update, final, late)."""
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spoken = utterances(turns.withWatermark("ts", delay), clean, lexicon.protected_stems() if clean else ())
+    sig = batch.signal_rows(spoken, lexicon, markers, conjunctions, keep=("ts", "us", "closed", "n_chars", "body"))
+    kept = [f for f in sig.schema.fields if f.name not in ("call_id", "closed", "n_chars", "body", "ts")]
+    out = Ty.StructType([Ty.StructField("call_id", Ty.StringType()), *(Ty.StructField(f.name, f.dataType) for f in kept),
+                         Ty.StructField("upd", Ty.LongType()), Ty.StructField("kind", Ty.StringType())])
+    context = CallContext([(f.name, f.dataType.simpleString()) for f in kept], window, idle)
+    return sig.groupBy("call_id").transformWithStateInPandas(
+        statefulProcessor=context, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """A query started within deals its state to n partitions; it keeps them for good."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if n:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+# --- updates -----------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class LiveScorer:
-    """foreachBatch function: analyse the new turns of a micro-batch in their context.
+    """foreachBatch function: the rules over the windows of a micro-batch.
 
-    `root` is a shared folder.  Every output is written under the batch number and
-    overwritten when Spark repeats a batch, so a restart neither loses nor doubles
-    rows.
+    `root` is a shared folder.  Updates, and late rows, are written under the batch number and overwritten
+    when Spark repeats a batch, so a restart neither loses nor doubles rows.
     """
 
     root: str
     lexicon: Lexicon
     markers: T.ActMarkers = field(default_factory=T.ActMarkers)
     conjunctions: tuple[str, ...] = vocab.CONJUNCTIONS
+    clean: bool = False
     window: int = vocab.CONTEXT_WINDOW
-
-    def __call__(self, turns: DataFrame, batch_id: int) -> None:
-        spark = turns.sparkSession
-        fresh = materialize(turns.dropDuplicates(["call_id", "seq"]).withColumn(
-            "start", F.coalesce("start", 1.5 + 6.0 * F.col("seq"))))
-        past = self.landed(spark, batch_id)
-        if past is not None:
-            fresh = materialize(fresh.join(past.select("call_id", "seq"), ["call_id", "seq"], "left_anti"))
-        self._write(fresh, "turns", batch_id)
-        segments = fresh
-        if past is not None:
-            since = fresh.groupBy("call_id").agg(F.min("seq").alias("_lo"))
-            context = past.join(since, "call_id").filter(F.col("seq") > F.col("_lo") - self.window).drop("_lo")
-            segments = fresh.unionByName(context.select(*fresh.columns))
-        new = fresh.select("call_id", F.col("seq").alias("upd"))
-        updates, events = analyze_updates(segments, self.lexicon, self.markers, self.conjunctions, only=new)
-        # events of one window of forty turns
-        listed = events.groupBy("call_id", "upd").agg(F.collect_list(F.struct(
-            "category", "sec", "severity", T.quote_canon(F.col("evidence")).alias("quote"))).alias("events"))
-        out = updates.join(listed, ["call_id", "upd"], "left").join(
-            fresh.select("call_id", F.col("seq").alias("upd"), "ts"), ["call_id", "upd"])
-        self._write(out.select("call_id", "upd", "risk_score", "stage", "tactics", "events", "ts"), "updates", batch_id)
-
-    def landed(self, spark: SparkSession, before: int) -> DataFrame | None:
-        """Turns landed by earlier batches."""
-        if before == 0:
-            return None
-        return spark.read.schema(f"{TURN}, batch bigint").parquet(f"{self.root}/turns").filter(
-            F.col("batch") < before).drop("batch")
-
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+    idle: int = IDLE_SECONDS
+    delay: str = "1 minute"
+    partitions: int | None = None  # of the state; the session's shuffle partitions where unset
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        rows = materialize(rows, "windows")  # the stateful operator runs once
+        for kind, realtime in (("update", True), ("final", False)):
+            own = rows.filter(F.col("kind") == kind).drop("kind")
+            if own.isEmpty():
+                continue
+            updates, events = analyze_windows(own, realtime)
+            # events of one window, or of one call at its end
+            listed = events.groupBy("call_id", "upd").agg(F.collect_list(F.struct(
+                "category", "sec", "severity", T.quote_canon(F.col("evidence")).alias("quote"))).alias("events"))
+            newest = own.groupBy("call_id", "upd").agg(F.timestamp_micros(F.max("us")).alias("ts"))
+            self._write(updates.join(listed, ["call_id", "upd"], "left").join(newest, ["call_id", "upd"]).select(
+                "call_id", "upd", F.lit(kind).alias("kind"), "risk_score", "stage", "tactics", "scam_types", "events", "ts"),
+                f"updates/batch={batch_id}/part={kind}")
+        late = rows.filter("kind = 'late' AND clause_ix = 0").select("call_id", "seq", "us")
+        self._write(late, f"late/batch={batch_id}")
+
+    def _write(self, df: DataFrame, place: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{place}")
 
     def start(self, turns: DataFrame, **trigger):
-        return turns.writeStream.foreachBatch(self).option(
-            "checkpointLocation", f"{self.root}/_score").trigger(**trigger).start()
+        stream = windows(turns, self.lexicon, self.markers, self.conjunctions, self.clean, self.window, self.idle, self.delay)
+        with state_partitions(turns.sparkSession, self.partitions):
+            return stream.writeStream.foreachBatch(self).option(
+                "checkpointLocation", f"{self.root}/_score").trigger(**trigger).start()
 
-    def update_stream(self, spark: SparkSession) -> DataFrame:
-        return spark.readStream.schema(UPDATE).parquet(f"{self.root}/updates")
+    def updates(self, spark: SparkSession) -> DataFrame:
+        """What has been written so far."""
+        return spark.read.schema(UPDATE).parquet(f"{self.root}/updates").drop("batch", "part")
 
-    def finalize(self, spark: SparkSession, calls: DataFrame) -> batch.Scored:
-        """Full analysis of finished calls from the landed turns."""
-        turns = spark.read.schema(f"{TURN}, batch bigint").parquet(f"{self.root}/turns").drop("batch")
-        return batch.score_calls(batch.analyze(
-            turns.join(calls.select("call_id"), "call_id", "left_semi"), self.lexicon, self.markers, self.conjunctions))
+    def update_stream(self, spark: SparkSession) -> DataFrame:
+        return spark.readStream.schema(UPDATE).parquet(f"{self.root}/updates").drop("batch", "part")
 
 
 class Monitor(StatefulProcessor):
-    """Per call: peak score, deepest stage, events already seen, alert level.
+    """Per call: peak score, stages, labels, events already seen, alert level, numbers of updates and alerts.
 
-    State expires after a day without updates.  A critical harmful category alerts
-    at once and once; score alerts only escalate.
+    A critical harmful category alerts at once and once; score alerts only escalate.  The final update of a call
+    ends its state.
     """
 
-    OUTPUT = ("call_id string, upd bigint, risk_score int, peak int, deepest_stage string, "
-              "n_fresh int, alert_level string, triggered_by string")
+    OUTPUT = ("call_id string, upd bigint, kind string, risk_score int, peak int, stage string, deepest_stage string, entered boolean, "
+              "n_fresh int, tactics array<string>, scam_types array<string>, n_updates int, n_alerts int, alert_level string, triggered_by string")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "peak int, depth int, highest int", STATE_TTL_MS)
-        self.seen = handle.getMapState("seen", "category string, sec bigint, quote string", "upd bigint", STATE_TTL_MS)
-        self.alerted = handle.getMapState("alerted", "category string", "upd bigint", STATE_TTL_MS)
+        self.held = handle.getValueState(
+            "held", "peak int, depth int, highest int, before string, entered int, n_updates int, n_alerts int, tactics string, scam_types string")
+        self.seen = handle.getMapState("seen", "category string, sec bigint, quote string", "upd bigint")
+        self.alerted = handle.getMapState("alerted", "category string", "upd bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        peak, depth, highest = self.held.get() if self.held.exists() else (0, 0, 0)
         names = {d: s for s, d in vocab.STAGE_DEPTH.items()}
         levels = {r: name for name, r in vocab.ALERT_ORDER.items()}
-        out = []
+        peak, depth, highest, before, entered, n_updates, n_alerts, tactics, scams = (
+            self.held.get() if self.held.exists() else (0, 0, 0, "", -1, 0, 0, "[]", "[]"))
+        tactics, scams = json.loads(tactics), json.loads(scams)
+        out, ended = [], False
         for row in pd.concat(list(rows)).sort_values("upd").itertuples(index=False):
-            score = int(row.risk_score)
-            peak, depth = max(peak, score), max(depth, vocab.STAGE_DEPTH.get(row.stage, 0))
+            score, now = int(row.risk_score), vocab.STAGE_DEPTH.get(row.stage, 0)
+            peak, depth, n_updates = max(peak, score), max(depth, now), n_updates + 1
+            # a stage is entered when it isn't that of the update before, nor one behind a stage entered earlier
+            enters = row.stage != before and now >= entered
+            if row.stage != before:
+                entered = max(entered, now)
+            before = row.stage
+            for labels, new in ((tactics, row.tactics), (scams, row.scam_types)):
+                labels += [x for x in ([] if new is None else new) if x not in labels]
             fresh, critical = 0, []
             events = [] if row.events is None else list(row.events)
             for e in sorted(events, key=lambda e: (e["sec"], e["category"])):
@@ -146,18 +336,19 @@ class Monitor(StatefulProcessor):
                     self.alerted.updateValue((e["category"],), (int(row.upd),))
                     critical.append(e["category"])
             rank = max((vocab.ALERT_ORDER[n] for n, at in vocab.ALERT_THRESHOLDS.items() if score >= at), default=0)
-            base = (key[0], int(row.upd), score, peak, names[depth], fresh)
-            if critical:
-                out += [(*base, "CRITICAL", c) for c in critical]
-                highest = vocab.ALERT_ORDER["CRITICAL"]
-            elif rank > highest:
-                out.append((*base, levels[rank], "risk_score"))
-                highest = rank
-            else:
-                out.append((*base, "NONE", ""))
-        self.held.update((peak, depth, highest))
+            alerts = [("CRITICAL", c) for c in critical] or [(levels[rank], "risk_score")] * (rank > highest)
+            n_alerts += len(alerts)
+            highest = vocab.ALERT_ORDER["CRITICAL"] if critical else max(highest, rank)
+            base = (key[0], int(row.upd), row.kind, score, peak, row.stage, names[depth], enters, fresh, list(tactics), list(scams), n_updates, n_alerts)
+            out += [(*base, *a) for a in alerts or [("NONE", "")]]
+            ended = row.kind == "final"
+        if ended:
+            for state in (self.held, self.seen, self.alerted):
+                state.clear()
+        else:
+            self.held.update((peak, depth, highest, before, entered, n_updates, n_alerts, json.dumps(tactics), json.dumps(scams)))
         columns = [c.strip().split(" ")[0] for c in self.OUTPUT.split(",")]
-        yield pd.DataFrame(out, columns=columns).astype({"risk_score": "int32", "peak": "int32", "n_fresh": "int32"})
+        yield pd.DataFrame(out, columns=columns).astype({c: "int32" for c in ("risk_score", "peak", "n_fresh", "n_updates", "n_alerts")})
 
     def close(self) -> None:
         pass
@@ -167,4 +358,20 @@ def monitor(updates: DataFrame) -> DataFrame:
     """Stream of scored updates -> stream of live frames with held state."""
     updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return updates.groupBy("call_id").transformWithStateInPandas(
-        statefulProcessor=Monitor(), outputStructType=Monitor.OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=Monitor(), outputStructType=Monitor.OUTPUT, outputMode="Append", timeMode="None")
+
+
+def run_available(scorer: LiveScorer, turns: DataFrame) -> int:
+    """Handle what has arrived, and end; the number of rows that were read."""
+    query = scorer.start(turns, availableNow=True)
+    query.awaitTermination()
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def frames_available(scorer: LiveScorer, spark: SparkSession) -> DataFrame:
+    """Live frames of what the scorer has written, handled to the end; frames of earlier runs are kept."""
+    with state_partitions(spark, scorer.partitions):
+        query = monitor(scorer.update_stream(spark)).writeStream.format("parquet").option("path", f"{scorer.root}/frames").option(
+            "checkpointLocation", f"{scorer.root}/_monitor").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(Monitor.OUTPUT).parquet(f"{scorer.root}/frames")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from callward import vocab as v
 from callward.operators.verdict import ACTION_TEXT
-from checks.common import SQL_CLAUSES, b, sql_case, sql_in, sql_ts, quote
+from checks.common import SQL_CLAUSES, SQL_SEGMENTS, b, quote, sql_case, sql_in, sql_quote_canon, sql_ts
 
 PROBLEMS = v.bits(*v.PROBLEM_CONCEPTS)
 ACTIVE = "(c.caller AND NOT c.official AND NOT (c.forbids AND c.scope AND NOT f.dm))"
@@ -262,3 +262,46 @@ def with_score(select: str) -> str:
 
 def timestamp_of(column: str) -> str:
     return sql_ts(column)
+
+
+def over_windows(size: int, finals: bool) -> str:
+    """The whole analysis with every update as a call of its own, {call_id, upd}: the segments up to one, `size` at most.
+
+    With `finals` the whole call comes as one more update, behind the last.
+    """
+    whole = SQL_SEGMENTS.replace("\nseg AS (", "\nwhole AS (")
+    each = f"""SELECT {{'call_id': a.call_id, 'upd': a.seq}} AS call_id, b.* EXCLUDE (call_id) FROM whole a
+      JOIN whole b ON a.call_id = b.call_id AND b.seq <= a.seq AND b.seq > a.seq - {size}"""
+    if finals:
+        each += """ UNION ALL SELECT {'call_id': w.call_id, 'upd': n.n}, w.* EXCLUDE (call_id) FROM whole w
+      JOIN (SELECT call_id, count(*) AS n FROM whole GROUP BY 1) n USING (call_id)"""
+    return SQL_SCORE.replace(SQL_SEGMENTS, whole + f",\nseg AS ({each})\n")
+
+
+#: Running values over the updates, for `over_windows`.
+SQL_HELD = f""",
+u AS (SELECT call_id.call_id AS call_id, call_id.upd AS upd, risk_score, stage, tactics, scam_types, {sql_case('stage', v.STAGE_DEPTH)} AS depth
+  FROM assessed),
+seen AS (SELECT call_id, category, sec, quote, min(upd) AS upd, arg_min(severity, upd) AS severity FROM (
+    SELECT call_id.call_id AS call_id, call_id.upd AS upd, category, sec, severity, {sql_quote_canon('evidence')} AS quote FROM events)
+  GROUP BY 1, 2, 3, 4),
+crit AS (SELECT call_id, category, min(upd) AS upd FROM seen WHERE severity = 'CRITICAL' AND category IN {sql_in(v.HARMFUL)} GROUP BY 1, 2),
+held0 AS (SELECT u.*, coalesce(nf.n, 0) AS n_fresh, coalesce(nc.n, 0) AS n_crit,
+    CASE WHEN nc.n > 0 THEN 3 WHEN risk_score >= 80 THEN 3 WHEN risk_score >= 60 THEN 2 WHEN risk_score >= 30 THEN 1 ELSE 0 END AS rank,
+    lag(stage) OVER (PARTITION BY u.call_id ORDER BY u.upd) AS before
+  FROM u LEFT JOIN (SELECT call_id, upd, count(*) AS n FROM seen GROUP BY 1, 2) nf ON nf.call_id = u.call_id AND nf.upd = u.upd
+    LEFT JOIN (SELECT call_id, upd, count(*) AS n FROM crit GROUP BY 1, 2) nc ON nc.call_id = u.call_id AND nc.upd = u.upd),
+held1 AS (SELECT *, before IS NULL OR before <> stage AS changed FROM held0),
+held2 AS (SELECT *, max(risk_score) OVER w AS peak, max(depth) OVER w AS deepest,
+    coalesce(max(rank) OVER (PARTITION BY call_id ORDER BY upd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS highest,
+    changed AND depth >= coalesce(max(CASE WHEN changed THEN depth END) OVER (PARTITION BY call_id ORDER BY upd
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entered, row_number() OVER w AS n_updates
+  FROM held1 WINDOW w AS (PARTITION BY call_id ORDER BY upd)),
+held AS (SELECT *, sum(CASE WHEN n_crit > 0 THEN n_crit WHEN rank > highest THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY upd) AS n_alerts FROM held2),
+tac AS (SELECT call_id, label, min([upd, p]) AS spot FROM (SELECT call_id, upd, unnest(tactics) AS label, generate_subscripts(tactics, 1) AS p FROM u) GROUP BY 1, 2),
+scam AS (SELECT call_id, label, min([upd, p]) AS spot FROM (SELECT call_id, upd, unnest(scam_types) AS label, generate_subscripts(scam_types, 1) AS p FROM u) GROUP BY 1, 2),
+tacs AS (SELECT u.call_id, u.upd, string_agg(label, '|' ORDER BY spot) AS all_tactics FROM u JOIN tac ON tac.call_id = u.call_id AND tac.spot[1] <= u.upd GROUP BY 1, 2),
+scams AS (SELECT u.call_id, u.upd, string_agg(label, '|' ORDER BY spot) AS all_scams FROM u JOIN scam ON scam.call_id = u.call_id AND scam.spot[1] <= u.upd GROUP BY 1, 2),
+deep AS (SELECT h.*, coalesce(all_tactics, '') AS all_tactics, coalesce(all_scams, '') AS all_scams, {DEPTH_NAME.replace('CASE depth', 'CASE deepest')} AS deepest_stage
+  FROM held h LEFT JOIN tacs USING (call_id, upd) LEFT JOIN scams USING (call_id, upd))
+"""

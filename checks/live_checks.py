@@ -12,6 +12,7 @@ from callward.operators import store as ST
 from callward.operators.prefix import blocks_of
 from callward.sources import readers as R
 from callward.sources import writers as W
+from checks import analysis_sql as A
 from checks.common import (CONJUNCTIONS, MARKERS, PROSE, SQL_SEGMENTS, check, segments, sql_case, sql_in,
                            sql_quote_canon, sql_strip, sql_ts, table)
 
@@ -129,7 +130,9 @@ def w08(spark, d):
         F.count("*").alias("rows"), F.min("seq").cast("bigint").alias("first")).withColumn("upd", F.col("upd").cast("bigint"))
 
 
-@check("live_replay")
+@check("live_replay", f"""WITH RECURSIVE {A.over_windows(v.CONTEXT_WINDOW, False)} {A.SQL_HELD}
+    SELECT call_id, upd, risk_score, peak, CASE WHEN peak >= 80 THEN 'CRITICAL' WHEN peak >= 60 THEN 'HIGH_RISK' WHEN peak >= 30 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS peak_level,
+      stage, deepest_stage, all_tactics FROM deep""")
 def live_replay(spark, d):
     """Every conversation analysed after each turn with the batch plan, then held and merged."""
     from callward.plans.live import replay
