@@ -27,8 +27,8 @@ SHAPE = Shape()
 EPOCHS, BATCH, UNITS, RATE = 12, 64, 64, 0.3
 
 
-def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """SGD over random units (words and pairs) of random documents."""
+def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int = EPOCHS, seed: int = 7, units: int = UNITS) -> Model:
+    """SGD over `units` random units (words and pairs) of each document in each epoch."""
     labels = np.array([y for _, y, _ in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
@@ -48,7 +48,7 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
         for k in range(0, n, BATCH):
             docs = turn[k:k + BATCH]
             docs = docs[offsets[docs + 1] > offsets[docs]]
-            sizes = np.minimum(offsets[docs + 1] - offsets[docs], UNITS)
+            sizes = np.minimum(offsets[docs + 1] - offsets[docs], units)
             row = np.repeat(np.arange(len(docs)), sizes)
             span = np.repeat(offsets[docs + 1] - offsets[docs], sizes)
             unit = np.repeat(offsets[docs], sizes) + (trainer.rng.random(len(row)) * span).astype(np.int64)
@@ -80,8 +80,8 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS,
-        text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
-    return train(sample(docs, labels, label, learn, rows, text_bytes))
+        text_bytes: int = SAMPLE_TEXT_BYTES, units: int = UNITS) -> Model:
+    return train(sample(docs, labels, label, learn, rows, text_bytes), units=units)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

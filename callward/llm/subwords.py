@@ -35,11 +35,12 @@ class Shape:
 
 @dataclass(frozen=True)
 class Model:
-    """Logit share of each bucket, and the bias."""
+    """Logit share of each bucket, and the bias; `known` tells the buckets that count, all where it is None."""
 
     shape: Shape
     weight: np.ndarray
     bias: float
+    known: np.ndarray | None = None
 
 
 def _bucket(h: np.ndarray, salt: int, bits: int) -> np.ndarray:
@@ -102,7 +103,10 @@ def word_weights(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray
     for k in range(0, len(words), 50_000):
         part = words[k:k + 50_000]
         of, at, whole = features(part, model.shape)
-        values.append(np.bincount(of, model.weight[at], len(part)) / np.bincount(of, minlength=len(part)))
+        if model.known is not None:
+            counts = model.known[at]
+            of, at = of[counts], at[counts]
+        values.append(np.bincount(of, model.weight[at], len(part)) / np.maximum(np.bincount(of, minlength=len(part)), 1))
         hashes.append(whole)
     return np.concatenate(values), np.concatenate(hashes)
 

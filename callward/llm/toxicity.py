@@ -1,10 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-The bag is a window of words: a few insults in a long text would vanish in its mean.  A document's
+The bag is a window of words, by default of one: a few insults in a long text would vanish in its
+mean, and a wider bag lets the model learn the clean words around them by heart.  A document's
 score is that of its worst window, and in training each document stands for the window that the
-current model finds worst, after a first round over random words.  Words are lower-cased and lose
+current model finds worst, after some epochs over random words.  Words are lower-cased and lose
 the punctuation around them, and a word that repeats at once counts once; unseen misspellings share
-character n-grams with seen words.
+character n-grams with seen words.  Buckets that occur in few of the documents learned from are left
+out, in training and in scoring: they tell documents apart, not words.  The model is the mean of
+several that begin at random.
 
 Null and empty texts get the score of the bias alone.  Without labelled rows, or with one label
 only, every document gets the share of label 1 among them (0.5 without any).  Repeated rows are
@@ -26,9 +29,12 @@ from callward.llm.subwords import Model, Shape, Trainer, feature_lists, sample,
 
 SAMPLE_ROWS = 6000
 SAMPLE_TEXT_BYTES = 64_000
-SHAPE = Shape()
-WINDOW, STRIDE = 12, 3
-FIRST, EPOCHS, BATCH, RATE = 5, 15, 64, 0.3
+SHAPE = Shape(bits=19, longest=7)
+WINDOW, STRIDE = 1, 1
+FIRST, DRAWN, EPOCHS, BATCH, RATE = 5, 2, 15, 64, 0.3
+MODELS = 3
+RARE = 150  # a bucket counts if one document in so many has it, or LEAST documents
+LEAST = 20
 AROUND = ".,;:!?\"'()[]{}<>|*%$#&_-/\\"
 
 
@@ -54,7 +60,20 @@ def _means(value: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndar
     return (run[end] - run[begin]) / (end - begin)
 
 
-def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def _common(at: np.ndarray, own: np.ndarray, codes: np.ndarray, offsets: np.ndarray, least: int, buckets: int) -> np.ndarray:
+    """Whether at least so many documents have a bucket, for every bucket."""
+    first = np.cumsum(own, dtype=np.int64) - own
+    documents = np.zeros(buckets, np.int64)
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        words = np.unique(codes[a:b])
+        many = own[words]
+        documents[np.unique(at[np.repeat(first[words], many) + ranges(many)])] += 1
+    return documents >= least
+
+
+def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int = EPOCHS, models: int = MODELS, first_epochs: int = FIRST,
+          drawn: int = DRAWN) -> Model:
+    """`drawn` random words of each document are learned from in each of the first epochs, then its worst window."""
     labels = np.array([y for _, y, _ in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
@@ -62,22 +81,32 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
     weights = np.array([w for *_, w in rows])
     codes, offsets, distinct = _split(pa.array([t for t, *_ in rows]))
     at, own, _ = feature_lists(distinct, shape)
-    first = np.cumsum(own, dtype=np.int64) - own
+    known = _common(at, own, codes, offsets, max(1, min(LEAST, len(rows) // RARE)), shape.buckets)
+    kept, word = known[at], np.repeat(np.arange(len(own)), own)
+    at, own = at[kept], np.bincount(word[kept], minlength=len(own))
+    found = [_train(at, own, codes, offsets, labels, weights, shape, epochs, first_epochs, drawn, seed) for seed in range(models)]
+    weight = np.mean([m.weight for m in found], axis=0)
+    return Model(shape, np.where(known, weight, 0).astype(np.float32), float(np.mean([m.bias for m in found])), known)
+
+
+def _train(at: np.ndarray, own: np.ndarray, codes: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray, shape: Shape,
+           epochs: int, first_epochs: int, drawn: int, seed: int) -> Model:
+    """One model; the buckets of word k are own[k] entries of `at`."""
+    first, word_of = np.cumsum(own, dtype=np.int64) - own, np.repeat(np.arange(len(own)), own)
     begin, end, many = windows(offsets)
     last = np.cumsum(many)
     full = np.flatnonzero(many > 0)
     trainer = Trainer(shape, seed)
     steps, done = epochs * -(-len(full) // BATCH), 0
     for epoch in range(epochs):
-        if epoch >= FIRST:
-            model = trainer.model()
-            value = np.add.reduceat(model.weight[at], first) / own if len(own) else np.zeros(0)
+        if epoch >= first_epochs:
+            value = np.bincount(word_of, trainer.model().weight[at], len(own)) / np.maximum(own, 1)
             mean = _means(value, codes, begin, end)
         turn = trainer.rng.permutation(full)
         for k in range(0, len(turn), BATCH):
             docs = turn[k:k + BATCH]
-            if epoch < FIRST:
-                sizes = np.minimum(offsets[docs + 1] - offsets[docs], 2 * WINDOW)
+            if epoch < first_epochs:
+                sizes = np.minimum(offsets[docs + 1] - offsets[docs], drawn)
                 span = np.repeat(offsets[docs + 1] - offsets[docs], sizes)
                 unit = np.repeat(offsets[docs], sizes) + (trainer.rng.random(sizes.sum()) * span).astype(np.int64)
             else:
@@ -88,7 +117,7 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
             word = codes[unit]
             each = own[word]
             trainer.step(np.repeat(row, each), at[np.repeat(first[word], each) + ranges(each)],
-                         np.repeat(1 / (each * sizes[row]), each), labels[docs], weights[docs], RATE * (1 - done / steps))
+                         np.repeat(1 / (np.maximum(each, 1) * sizes[row]), each), labels[docs], weights[docs], RATE * (1 - done / steps))
             done += 1
     return trainer.model()
 
@@ -105,8 +134,8 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS,
-        text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
-    return train(sample(docs, labels, label, learn, rows, text_bytes))
+        text_bytes: int = SAMPLE_TEXT_BYTES, epochs: int = EPOCHS, first_epochs: int = FIRST, drawn: int = DRAWN) -> Model:
+    return train(sample(docs, labels, label, learn, rows, text_bytes), epochs=epochs, first_epochs=first_epochs, drawn=drawn)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
