@@ -83,7 +83,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_site_line_dedup", """
 WITH r AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-hosts AS (SELECT source, count(*) AS total FROM r GROUP BY 1 HAVING count(*) >= 20),
+hosts AS (SELECT source, count(*) AS total FROM r GROUP BY 1),
 n AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct(ls)) AS line FROM r)
   WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
 common AS (SELECT n.source, list(line) AS bad FROM n JOIN hosts ON n.source IS NOT DISTINCT FROM hosts.source
@@ -93,8 +93,7 @@ k AS (SELECT doc_id, r.source, text, array_to_string(list_filter(ls, lambda x: N
 SELECT doc_id, source, CASE WHEN trim(replace(kept, chr(10), ''), ' ') <> '' THEN kept ELSE text END AS text FROM k
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL above leaves out hosts of fewer than 20 pages
-    return lines.dedup(table(spark, sf_dir, "documents"), min_pages=20).select("doc_id", "source", "text")
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
 
 
 @query("op6_best_fit_packing")

@@ -374,3 +374,20 @@ def test_sequences_hold_the_packed_ids(spark):
     ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in out), "<u4")
     tokenizer = packing.encoder(path).tokenizer
     assert sorted(ids.tolist()) == sorted([i for t in ("hello there world", "a b c", "") for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]])
+
+
+def test_line_ratio_holds_for_hosts_of_every_size(spark):
+    """Hosts of 1 to 25 pages against counting by hand."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for host in range(1, 26):
+        for page in range(host):
+            own = [f"line {k} of {host}" for k in range(12) if rng.random() < (k + 1) / 14]
+            rows.append((len(rows), f"h{host}" if host != 7 else None, "\n".join([*own, f"only here {len(rows)}"] if page % 5 else own)))
+    want = {}
+    for doc, host, text in rows:
+        pages = [t.split("\n") for _, h, t in rows if h == host]
+        kept = [x for x in text.split("\n") if not x.strip() or (n := sum(x in p for p in pages)) < 2 or n <= 0.1 * len(pages)]
+        want[doc] = "\n".join(kept) if "".join(kept).strip() else text
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(docs).collect()} == want
