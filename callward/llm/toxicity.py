@@ -56,8 +56,23 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _means(value: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    run = np.concatenate(([0], np.cumsum(value[codes] if len(value) else value)))
-    return (run[end] - run[begin]) / (end - begin)
+    if not len(begin):
+        return np.zeros(0)
+    base, until = int(begin.min()), int(end.max())
+    run = np.concatenate(([0], np.cumsum(value[codes[base:until]])))
+    return (run[end - base] - run[begin - base]) / (end - begin)
+
+
+def _worst(value: np.ndarray, codes: np.ndarray, offsets: np.ndarray, together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the worst window of each document, some documents at a time; an empty one has none."""
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(offsets) - 1, together):
+        begin, end, many = windows(offsets[k:k + together + 1])
+        mean, last = _means(value, codes, begin, end), np.cumsum(many)
+        best = [b - n + int(mean[b - n:b].argmax()) if n else -1 for b, n in zip(last.tolist(), many.tolist(), strict=True)]
+        found.append(np.array([(begin[i], end[i]) if i >= 0 else (0, 0) for i in best], np.int64))
+    spans = np.concatenate(found)
+    return spans[:, 0], spans[:, 1]
 
 
 def _common(at: np.ndarray, own: np.ndarray, codes: np.ndarray, offsets: np.ndarray, least: int, buckets: int) -> np.ndarray:
@@ -82,8 +97,12 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
     codes, offsets, distinct = _split(pa.array([t for t, *_ in rows]))
     at, own, _ = feature_lists(distinct, shape)
     known = _common(at, own, codes, offsets, max(1, min(LEAST, len(rows) // RARE)), shape.buckets)
-    kept, word = known[at], np.repeat(np.arange(len(own)), own)
-    at, own = at[kept], np.bincount(word[kept], minlength=len(own))
+    del distinct
+    kept = known[at]
+    before = np.concatenate(([0], np.cumsum(kept, dtype=np.int32)))
+    ends = np.cumsum(own, dtype=np.int64)
+    at, own = at[kept], before[ends] - before[ends - own]
+    del kept, before, ends
     found = [_train(at, own, codes, offsets, labels, weights, shape, epochs, first_epochs, drawn, seed) for seed in range(models)]
     weight = np.mean([m.weight for m in found], axis=0)
     return Model(shape, np.where(known, weight, 0).astype(np.float32), float(np.mean([m.bias for m in found])), known)
@@ -92,16 +111,15 @@ def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int
 def _train(at: np.ndarray, own: np.ndarray, codes: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray, shape: Shape,
            epochs: int, first_epochs: int, drawn: int, seed: int) -> Model:
     """One model; the buckets of word k are own[k] entries of `at`."""
-    first, word_of = np.cumsum(own, dtype=np.int64) - own, np.repeat(np.arange(len(own)), own)
-    begin, end, many = windows(offsets)
-    last = np.cumsum(many)
-    full = np.flatnonzero(many > 0)
+    first = np.cumsum(own, dtype=np.int64) - own
+    full = np.flatnonzero(np.diff(offsets) > 0)
     trainer = Trainer(shape, seed)
     steps, done = epochs * -(-len(full) // BATCH), 0
     for epoch in range(epochs):
         if epoch >= first_epochs:
-            value = np.bincount(word_of, trainer.model().weight[at], len(own)) / np.maximum(own, 1)
-            mean = _means(value, codes, begin, end)
+            total = np.concatenate(([0], np.cumsum(trainer.model().weight[at])))
+            value = (total[first + own] - total[first]) / np.maximum(own, 1)
+            begin, end = _worst(value, codes, offsets)
         turn = trainer.rng.permutation(full)
         for k in range(0, len(turn), BATCH):
             docs = turn[k:k + BATCH]
@@ -110,9 +128,8 @@ def _train(at: np.ndarray, own: np.ndarray, codes: np.ndarray, offsets: np.ndarr
                 span = np.repeat(offsets[docs + 1] - offsets[docs], sizes)
                 unit = np.repeat(offsets[docs], sizes) + (trainer.rng.random(sizes.sum()) * span).astype(np.int64)
             else:
-                worst = np.array([last[d] - many[d] + mean[last[d] - many[d]:last[d]].argmax() for d in docs.tolist()])
-                sizes = end[worst] - begin[worst]
-                unit = np.repeat(begin[worst], sizes) + ranges(sizes)
+                sizes = end[docs] - begin[docs]
+                unit = np.repeat(begin[docs], sizes) + ranges(sizes)
             row = np.repeat(np.arange(len(docs)), sizes)
             word = codes[unit]
             each = own[word]
