@@ -1,13 +1,20 @@
 """Locating quotes in the transcript they claim to come from.
 
 Containment is settled in the JVM: pairs are found through hashes of shared character
-grams, which travel with ids only, so no call produces all its pairs.  Only quotes that
-are contained nowhere reach the Python similarity measure.
+grams, which travel with ids only, so no call produces all its pairs.
+
+Quotes that are contained nowhere are compared by similarity, filter first and verify then:
+* a matching ratio at the threshold bounds the lengths, so that texts meet by length class, and the
+  letters both must have in common, which are counted in the JVM;
+* a piece of a quote that reaches the threshold holds the quote's middle, so that an utterance must
+  contain that middle, which the grams find.
+Both bounds are exact.  Only pairs that pass reach the Python measure.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 from collections import Counter
 
 import pandas as pd
@@ -41,24 +48,16 @@ def _gram_size(text: Column) -> Column:
     return out
 
 
-def _all_grams(text: Column) -> Column:
-    per_size = [
-        F.when(F.length(text) >= g, F.transform(
-            F.sequence(F.lit(1), F.length(text) - (g - 1)), lambda i: F.substring(text, i, F.lit(g))))
-        .otherwise(F.array().cast("array<string>"))
-        for g in GRAMS
-    ]
-    return F.array_distinct(F.flatten(F.array(*per_size)))
-
-
 def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(call_id, i, o) of texts t where the inner one occurs in the outer one, via the first gram of the inner text."""
-    def hashed(gram: Column) -> Column:
-        return F.xxhash64(gram)
+    """(call_id, i, o) of texts t where the inner one occurs in the outer one, via the first gram of the inner text.
 
-    head = inner.select("call_id", F.col("id").alias("i"), hashed(F.substring("t", F.lit(1), _gram_size(F.col("t")))).alias("g"))
-    grams = outer.select("call_id", F.col("id").alias("o"), F.explode(F.array_distinct(
-        F.transform(_all_grams(F.col("t")), hashed))).alias("g"))
+    Outer texts are cut into grams of the sizes only that inner texts of their call begin with.
+    """
+    size = _gram_size(F.col("t"))
+    head = inner.select("call_id", F.col("id").alias("i"), F.xxhash64(F.substring("t", F.lit(1), size)).alias("g"))
+    asked = inner.groupBy("call_id").agg(F.collect_set(size).alias("sizes"))  # of GRAMS
+    cut = "flatten(transform(filter(sizes, n -> n <= length(t)), n -> transform(sequence(1, length(t) - n + 1), k -> xxhash64(substring(t, k, n)))))"
+    grams = outer.join(asked, "call_id").select("call_id", F.col("id").alias("o"), F.explode(F.array_distinct(F.expr(cut))).alias("g"))
     pairs = head.join(grams, ["call_id", "g"]).select("call_id", "i", "o").distinct()
     texts = pairs.join(inner.select("call_id", F.col("id").alias("i"), F.col("t").alias("_i")), ["call_id", "i"]) \
         .join(outer.select("call_id", F.col("id").alias("o"), F.col("t").alias("_o")), ["call_id", "o"])
@@ -102,21 +101,53 @@ def similarity(needle: pd.Series, hay: pd.Series) -> pd.Series:
     return pd.Series([score(a, b) for a, b in zip(needle, hay)], dtype="float64")
 
 
+def _letters(text: str) -> Column:
+    """How often a text has each of its characters."""
+    return F.expr(f"transform(array_distinct(split({text}, '')), c -> struct(c, length({text}) - length(replace({text}, c, '')) AS n))")
+
+
+#: Characters that two texts have in common, with their number; no alignment matches more.
+_SHARED = ("aggregate(a.letters, 0, (s, x) -> s + least(x.n, coalesce(try_element_at(transform(filter(b.letters, y -> y.c = x.c), y -> y.n), 1), 0)))")
+
+
+def _alike(quotes: DataFrame, hays: DataFrame, t: float) -> DataFrame:
+    """(call_id, i, o) of texts whose lengths and letters allow a matching ratio of t.
+
+    With a ratio of t the longer text has at most (2 - t) / t times the length of the shorter one, so
+    that length classes of that width meet their neighbours only.
+    """
+    width = math.log((2 - t) / t) + 1e-9
+    classed = lambda df: df.select("call_id", "id", F.length("t").alias("n"), _letters("t").alias("letters"),
+                                   F.floor(F.log(F.length("t")) / width).alias("cls"))
+    a = classed(quotes).withColumn("cls", F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))))
+    pairs = a.alias("a").join(classed(hays).alias("b"), ["call_id", "cls"])
+    lengths, letters = "2D * least(a.n, b.n) / (a.n + b.n)", f"2D * {_SHARED} / (a.n + b.n)"
+    return pairs.filter(f"{lengths} >= {t - 1e-9}D").filter(f"{letters} >= {t - 1e-9}D").select(
+        "call_id", F.col("a.id").alias("i"), F.col("b.id").alias("o"))
+
+
+def _pieced(quotes: DataFrame, hays: DataFrame, t: float) -> DataFrame:
+    """(call_id, i, o) of quotes whose middle, which every piece of a share t holds, occurs in an utterance."""
+    least = F.ceil(F.length("t") * (t - 1e-9)).cast("int")
+    middle = quotes.select("call_id", "id", F.substring("t", F.length("t") - least + 1, 2 * least - F.length("t")).alias("t"))
+    return _contained(middle, hays)
+
+
 def fuzzy(residue: DataFrame, hays: DataFrame) -> DataFrame:
     """Best similar utterance at or above the threshold for quotes contained nowhere.
 
-    Lengths alone rule out most pairs: a ratio needs comparable lengths, a long
-    shared piece needs a longer utterance.
+    residue(call_id, quote_id, needle); hays from `haystacks`.  Equal texts of a call are compared once.
     """
     t = vocab.GROUNDING_THRESHOLD
-    n, h = F.length("needle"), F.length("hay")
-    possible = (2.0 * F.least(n, h) / (n + h) >= t) | (h > n)
-    scored = (
-        residue.join(hays, "call_id").filter(possible)
+    q = residue.select("call_id", F.xxhash64("needle").alias("id"), F.col("needle").alias("t")).distinct()
+    h = hays.select("call_id", F.xxhash64("hay").alias("id"), F.col("hay").alias("t"), F.col("at.seq").alias("seq"))
+    texts = h.select("call_id", "id", "t")
+    pairs = _alike(q, texts, t).unionByName(_pieced(q, texts, t)).distinct()
+    scored = pairs.join(q.select("call_id", F.col("id").alias("i"), F.col("t").alias("needle")), ["call_id", "i"]) \
+        .join(h.select("call_id", F.col("id").alias("o"), F.col("t").alias("hay"), "seq"), ["call_id", "o"]) \
         .withColumn("score", similarity("needle", "hay")).filter(F.col("score") >= t)
-    )
-    best = F.max(F.struct("score", (-F.col("at.seq")).alias("neg"))).alias("b")
-    return scored.groupBy("call_id", "quote_id").agg(best).select(
+    best = scored.groupBy("call_id", "i").agg(F.max(F.struct("score", (-F.col("seq")).alias("neg"))).alias("b"))
+    return residue.select("call_id", "quote_id", F.xxhash64("needle").alias("i")).join(best, ["call_id", "i"]).select(
         "call_id", "quote_id", (-F.col("b.neg")).alias("seq"), F.col("b.score").alias("score"))
 
 
