@@ -35,11 +35,16 @@ def mask_sql(padded: str, lexicon: Lexicon) -> str:
         f"IF({padded} RLIKE '{lexicon.pattern(c)}', {bit(c)}L, 0L)"
         for c in vocab.CONCEPTS if lexicon.pattern(c)
     ) or "0L"
+    return resolved_sql(found, padded, lexicon.otp_password_phrase)
+
+
+def resolved_sql(found: str, padded: str, otp_password_phrase: str) -> str:
+    """A concept set without what another concept of the clause hides."""
     otp = sql_has("m", "TARGET_OTP")
     hidden = (
         f"IF({otp}, {bit('TARGET_CODE_GENERIC')}L, 0L)"
         f" | IF({sql_has('m', 'TARGET_CARD_FULL')}, {bit('TARGET_CARD_PARTIAL')}L, 0L)"
-        f" | IF({otp} AND contains({padded}, '{lexicon.otp_password_phrase}'), {bit('TARGET_PASSWORD')}L, 0L)"
+        f" | IF({otp} AND contains({padded}, '{otp_password_phrase}'), {bit('TARGET_PASSWORD')}L, 0L)"
     )
     return f"transform(array({found}), m -> m & ~({hidden}))[0]"
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callward import vocab as v
-from callward.operators import concepts, score, sequence, verdict
+from callward.operators import concepts, lexicon_table, score, sequence, verdict
 from callward.operators import store as ST
-from callward.params import dimension
+from callward.params import Lexicon, dimension
 from callward.plans import batch
 from checks import analysis_sql as A
 from checks.common import (CONJUNCTIONS, MARKERS, PROSE, SQL_CLAUSES, SQL_LEX, b, check, segments, sql_case, sql_in,
@@ -57,6 +57,23 @@ def j01(spark, d):
         "call_id", "seq", F.col("clause_ix").cast("bigint").alias("clause_ix"), "concept", "stem")
 
 
+@check("j01_lexicon_table", f"""WITH {SQL_CLAUSES}
+    SELECT c.call_id, c.seq, c.clause_ix, c.mask::BIGINT AS mask, {b('TARGET_OTP', col='prior')} AS prior_otp, {b(*v.CREDENTIAL_TARGETS, col='prior')} AS prior_cred,
+      {b('NEVER_ASKS', col='prior')} AS prior_never, coalesce(string_agg(s.concept || ':' || s.stem, '|' ORDER BY s.concept), '') AS stems
+    FROM clause c LEFT JOIN (SELECT h.call_id, h.seq, h.clause_ix, h.concept, h.bit, arg_min(h.stem, h.ord) AS stem FROM hit h GROUP BY ALL) s
+      ON s.call_id = c.call_id AND s.seq = c.seq AND s.clause_ix = c.clause_ix AND (c.mask & s.bit) <> 0 GROUP BY ALL""")
+def j01t(spark, d):
+    """Concept sets and stems through a lexicon that stays a table."""
+    lexicon = PROSE.to_df(spark)
+    plain = concepts.clauses(segments(spark, d), Lexicon((), PROSE.otp_password_phrase), MARKERS, CONJUNCTIONS)
+    found = lexicon_table.matches(plain, lexicon)
+    rows = lexicon_table.clauses(segments(spark, d), lexicon, MARKERS, CONJUNCTIONS, PROSE.otp_password_phrase, found)
+    listed = lexicon_table.matched_stems(rows, found).groupBy("call_id", "seq", "clause_ix").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("concept", F.lit(":"), "stem"))), "|").alias("stems"))
+    return rows.join(listed, ["call_id", "seq", "clause_ix"], "left").select(
+        "call_id", "seq", F.col("clause_ix").cast("bigint").alias("clause_ix"), "mask", "prior_otp", "prior_cred", "prior_never", F.coalesce("stems", F.lit("")).alias("stems"))
+
+
 @check("j02_overlaps", f"""WITH {SQL_CLAUSES} SELECT call_id, seq, clause_ix, mask::BIGINT AS mask FROM clause
     WHERE {b('TARGET_OTP')} OR {b('TARGET_CARD_FULL')}""")
 def j02(spark, d):
