@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from callward import vocab
 from callward.functions import text as T
+from callward.operators.cut import materialize
 
 GRAMS = (1, 2, 4, 8, 16)
 
@@ -152,10 +153,13 @@ def fuzzy(residue: DataFrame, hays: DataFrame) -> DataFrame:
 
 
 def locate(quotes: DataFrame, segments: DataFrame) -> DataFrame:
-    """quotes(call_id, quote_id, evidence) -> seq and score, null seq when not found."""
-    q = quotes.select("call_id", "quote_id", T.quote_canon(F.col("evidence")).alias("needle")).filter("needle <> ''")
-    hays = haystacks(segments.join(quotes.select("call_id").distinct(), "call_id", "left_semi"))
-    found = contained(q, hays).withColumns({"score": F.lit(1.0), "by": F.lit("containment")})
+    """quotes(call_id, quote_id, evidence) -> seq and score, null seq when not found.
+
+    Canonical texts and what containment finds are computed once; later steps read them several times.
+    """
+    q = materialize(quotes.select("call_id", "quote_id", T.quote_canon(F.col("evidence")).alias("needle")).filter("needle <> ''"), "quotes")
+    hays = materialize(haystacks(segments.join(quotes.select("call_id").distinct(), "call_id", "left_semi")), "utterances")
+    found = materialize(contained(q, hays).withColumns({"score": F.lit(1.0), "by": F.lit("containment")}), "contained")
     residue = q.join(found, ["call_id", "quote_id"], "left_anti")
     return found.unionByName(fuzzy(residue, hays).withColumn("by", F.lit("similarity")))
 
@@ -166,8 +170,8 @@ def ground(events: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame
     Returns the kept events, with time and speaker taken from the matched
     segment, and the dropped ones with the reason.
     """
-    at = locate(events, segments).select(
-        "call_id", "quote_id", F.col("seq").alias("segment_index"), F.round("score", 3).alias("grounding_score"), F.col("by").alias("grounded_by"))
+    at = materialize(locate(events, segments).select(
+        "call_id", "quote_id", F.col("seq").alias("segment_index"), F.round("score", 3).alias("grounding_score"), F.col("by").alias("grounded_by")), "grounded")
     where = segments.select(
         "call_id", F.col("seq").alias("segment_index"), F.col("speaker").alias("_speaker"),
         F.col("start").alias("_start"))
