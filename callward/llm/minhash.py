@@ -146,8 +146,12 @@ def _common(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, packed) of the wanted documents, materialized; rows of one id give one text."""
-    wanted = squeezed(docs).join(ids, "doc_id", "left_semi")
+    """(doc_id, packed) of the wanted documents, materialized; rows of one id give one text.
+
+    The ids are written first, so that Spark knows their size when it chooses how they meet the texts:
+    while they can be broadcast, only wanted texts travel.
+    """
+    wanted = squeezed(docs).join(materialize(ids, "wanted"), "doc_id", "left_semi")
     return materialize(wanted.groupBy("doc_id").agg(F.min("packed").alias("packed")), "texts")
 
 
@@ -303,9 +307,11 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     first = materialize(first, "representatives")
     sigs = first.select("rep", "sig")
     # the band is hashed into its key
-    banded = first.select("rep", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(
-        F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two"), F.count("*").alias("n")).where("n > 1")
+    every = first.select("rep", F.explode("bands").alias("key"))
+    # most keys are met once: keys alone are counted, and only rows of shared ones travel with their ids, the same way at every size
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    banded = materialize(every.join(shared.hint("merge"), "key", "left_semi"), "banded")
+    leaders = banded.groupBy("key").agg(F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two"))
     buckets = materialize(banded.join(leaders, "key"), "buckets")
     pairs = buckets.select("rep", F.explode(F.array("one", "two")).alias("lead")).where("rep <> lead") \
         .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
@@ -319,7 +325,8 @@ def groups(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     if not asked.isEmpty():
         labels = _merged(labels, materialize(_joined(asked, sigs, labels, docs, share), "joined"))
     comp = labels.select(F.col("node").alias("rep"), "comp")
-    of_set = members.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
+    # written first: the join with all rows is then one that Spark can split where a set has very many copies
+    of_set = materialize(members.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp")), "sets")
     out = known.select("doc_id", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), mine).alias("component_id")) \
