@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from callward.functions import text as T
-from callward.operators.cut import materialize
+from callward.operators import store
 
 BUCKETS = 64
 
@@ -55,28 +58,99 @@ def audit_rows(calls: DataFrame, action: str, actor: str, detail: Column) -> Dat
         F.col("call_id").cast("string").alias("call_id"), detail.cast("string").alias("detail"))
 
 
-def audit(calls: DataFrame, path: str, action: str, actor: str = "system", detail: Column | None = None) -> None:
-    """Append one audit row per call."""
-    audit_rows(calls, action, actor, F.lit("") if detail is None else detail).write.mode("append").parquet(path)
+def audit(calls: DataFrame, path: str, action: str, actor: str = "system", detail: Column | None = None,
+          run_id: str | None = None) -> None:
+    """Append one audit row per call.
+
+    Rows lie in a folder of their run.  A job that is run again under the same `run_id` writes that folder anew
+    instead of adding to it; without one every call is a run of its own.
+    """
+    run_id = uuid.uuid4().hex if run_id is None else run_id
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run id {run_id!r}: letters, digits, '_', '.' and '-' only")
+    audit_rows(calls, action, actor, F.lit("") if detail is None else detail).write.mode("overwrite").parquet(f"{path}/run={run_id}")
+
+
+def audited_read(calls: DataFrame, segments: DataFrame, ids: DataFrame, key: Column | None, path: str, run_id: str,
+                 actor: str) -> DataFrame:
+    """Decrypted segments of the wanted calls that aren't deleted; who read what is written first.
+
+    The audit row of a call tells how many segments were read and how many originals the key opened.  If writing
+    it fails, nothing is returned; a read that is repeated under its run id leaves one row per call.
+    """
+    wanted = store.visible(calls).join(ids.select("call_id"), "call_id", "left_semi").select("call_id")
+    text = segments.join(wanted, "call_id", "left_semi").withColumn(
+        "text_original", store.decrypted(F.col("text_encrypted"), key)).drop("text_encrypted")
+    read = text.groupBy("call_id").agg(F.count("*").alias("n"), F.count("text_original").alias("opened"))
+    rows = wanted.join(read, "call_id", "left").select("call_id", F.format_string(
+        "segments=%d opened=%d", F.coalesce("n", F.lit(0)), F.coalesce("opened", F.lit(0))).alias("detail"))
+    audit(rows, path, "read_transcript", actor, F.col("detail"), run_id)
+    return text
+
+
+# --- stored tables -----------------------------------------------------------------
+# A table is a folder of versions `v000000000007`.  A version counts once the file MARK stands in it, which is
+# written last; readers take the newest that counts.
+
+MARK = "_CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[str], str | None]:
+    """(all versions in order, the newest that counts)."""
+    store_, where = _files(spark, path)
+    if not store_.exists(where):
+        return [], None
+    found = sorted(f.getPath().getName() for f in store_.listStatus(where) if re.fullmatch(r"v\d{12}", f.getPath().getName()))
+    whole = [v for v in found if store_.exists(_files(spark, f"{path}/{v}/{MARK}")[1])]
+    return found, whole[-1] if whole else None
 
 
 def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("call_id").cast("string")), F.lit(buckets)).cast("int"))
 
 
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored content; an error where nothing has been saved."""
+    _, current = _versions(spark, path)
+    if current is None:
+        raise FileNotFoundError(f"no stored table at {path}")
+    return spark.read.parquet(f"{path}/{current}").drop("bucket")
+
+
 def save_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Make `df` the whole content of the table: what it no longer holds is gone from the files.
 
-    The content may be derived from the table itself: it is cut from the files
-    before they are replaced.  Rows are dealt by size, the same call next to each other.
+    The content is written beside the old one, which stays in place until the new one is whole; then it is
+    deleted, and so is what failed jobs have left.  A job that ends in between leaves the old content or the new.
+    `df` may be derived from the table itself.  Of two jobs that save at once one fails.  Rows are dealt by size, the
+    same call next to each other.
     """
-    out = materialize(with_bucket(df, buckets))
-    (out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "call_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path))
+    spark = df.sparkSession
+    found, current = _versions(spark, path)
+    number = int(current[1:]) + 1 if current else 0
+    store_, target = _files(spark, f"{path}/v{number:012d}")
+    if f"v{number:012d}" in found:  # of a job that failed
+        store_.delete(target, True)
+    (with_bucket(df, buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "call_id")
+        .write.mode("errorifexists").partitionBy("bucket").parquet(target.toString()))
+    store_.create(_files(spark, f"{target.toString()}/{MARK}")[1], False).close()
+    for old in found:
+        if old != f"v{number:012d}":
+            store_.delete(_files(spark, f"{path}/{old}")[1], True)
 
 
 def append_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    with_bucket(df, buckets).write.mode("append").partitionBy("bucket").parquet(path)
+    """Add rows to the newest version; the first rows make a table."""
+    _, current = _versions(df.sparkSession, path)
+    if current is None:
+        save_table(df, path, buckets)
+    else:
+        with_bucket(df, buckets).write.mode("append").partitionBy("bucket").parquet(f"{path}/{current}")
 
 
 # --- text outputs ----------------------------------------------------------------

@@ -378,8 +378,9 @@ def g03d(spark, d):
     calls = table(spark, d, "orders").selectExpr("o_orderkey AS call_id", "o_orderstatus AS status")
     W.save_table(calls, path, 64)
     ids = calls.filter("status = 'F'").select("call_id")
-    W.save_table(ST.hard_delete({"calls": spark.read.parquet(path).drop("bucket")}, ids)["calls"], path, 64)
-    return spark.read.parquet(path).select("call_id")
+    W.save_table(ST.hard_delete({"calls": W.load_table(spark, path)}, ids)["calls"], path, 64)
+    # every file below the folder, whatever version it is of
+    return spark.read.option("recursiveFileLookup", "true").parquet(path).select("call_id")
 
 
 _DUE = f"TIMESTAMP '{_NOW}'"
@@ -397,10 +398,12 @@ def g04r(spark, d):
     return segs.filter("text_masked = '[purged]'").agg(F.count("*").alias("n"))
 
 
-@check("g05_leak_scan", "SELECT doc_id FROM documents WHERE false")
+@check("g05_leak_scan", "SELECT doc_id FROM documents WHERE doc_id % 50 = 0")
 def g05(spark, d):
-    """After masking nothing is left to mask, over all documents."""
-    return ST.leak_scan(ST.masked_fields(table(spark, d, "documents").select("doc_id", "text"), "text"), "text").select("doc_id")
+    """After masking nothing is left to mask, over all documents, but where a code was written behind it."""
+    masked = ST.masked_fields(table(spark, d, "documents").select("doc_id", "text"), "text")
+    planted = F.when(F.col("doc_id") % 50 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" otp code 482913"))).otherwise(F.col("text"))
+    return ST.leak_scan(masked.withColumn("text", planted), "text").select("doc_id")
 
 
 # --- series: embeddings are sampled signals --------------------------------------------------------
@@ -502,7 +505,7 @@ def st03n(spark, d):
     return N.chunks(samples(spark, d), 24).groupBy("series_id", "chunk").agg(F.count("*").alias("n"))
 
 
-@check("k08_audit_rows")
+@check("k08_audit_rows", f"""WITH {_SQL_CALLS} SELECT 'check' AS actor, 'save_analysis' AS action, call_id::VARCHAR AS call_id, 'risk=' || final_risk AS detail FROM c""")
 def k08(spark, d):
     return W.audit_rows(stored_calls(spark, d), "save_analysis", "check", F.concat(F.lit("risk="), "final_risk")).drop("at")
 
@@ -516,3 +519,19 @@ def g01(spark, d):
     return kept.join(none, ["call_id", "seq"]).select(
         "call_id", "seq", F.md5(F.col("text_masked").cast("binary")).alias("text_masked"),
         F.md5(ST.decrypted(F.col("text_encrypted"), key).cast("binary")).alias("opened"), "hidden")
+
+
+@check("g02_audited_read", f"""WITH {SQL_SEGMENTS}, n AS (SELECT conv_id AS call_id, count(s.call_id) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c
+      LEFT JOIN seg s ON s.call_id = c.conv_id GROUP BY 1)
+    SELECT 'reader' AS actor, 'read_transcript' AS action, call_id::VARCHAR AS call_id, 'segments=' || n || ' opened=' || n AS detail FROM n WHERE call_id % 3 <> 0""")
+def g02(spark, d):
+    """Audit rows of a decrypting read of all calls but deleted ones, by a job that was run twice."""
+    from callward.operators.cut import scratch
+
+    key, path = F.lit("0123456789abcdef"), scratch(spark, "audit")
+    calls = table(spark, d, "conversations").select(F.col("conv_id").alias("call_id")).distinct().withColumn(
+        "deleted_at", F.when(F.col("call_id") % 3 == 0, F.lit(_NOW)))
+    stored = ST.stored_segments(segments(spark, d), key)
+    for _ in range(2):
+        W.audited_read(calls, stored, calls, key, path, "check", "reader")
+    return spark.read.parquet(path).select("actor", "action", "call_id", "detail")

@@ -227,9 +227,15 @@ def a27(spark, d):
 
 
 @check("st06_realtime_hold", A.with_verdict(
-    "SELECT call_id, classification FROM s8 WHERE framed AND NOT l_identity AND NOT l_problem AND n_pressure < 2"))
+    "SELECT call_id, payoff, CASE WHEN payoff THEN 'SUSPICIOUS' ELSE 'SAFE' END AS classification FROM s7 WHERE call_id % 2 = 0"))
 def st06(spark, d):
-    return analysis(spark, d).summary.filter(verdict.REALTIME_HOLD).select("call_id", "classification")
+    """The live rule where it holds: every second call is given a solution as its only framing.
+
+    No call is framed so by itself, as a solution event needs a problem event.
+    """
+    alone = {"l_identity": F.lit(False), "l_problem": F.lit(False), "l_solution": F.col("call_id") % 2 == 0, "l_pressure": F.lit(False), "n_pressure": F.lit(0)}
+    framed = analysis(spark, d).summary.withColumns(alone).withColumn("classification", F.expr(verdict.classify(True)))
+    return framed.filter(verdict.REALTIME_HOLD).select("call_id", "payoff", "classification")
 
 
 @check("f04_grounded_only", A.with_score("SELECT call_id, count(*) AS n FROM part WHERE trim(evidence) <> '' GROUP BY call_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callward.functions import masking as M
 from callward.functions import text as T
+from callward.operators import store
 from callward.sources import readers, writers
 from tests.calls import LEXICON
 
@@ -62,15 +63,56 @@ def test_reports_and_stored_table(spark, tmp_path):
     assert [r.report for r in readers.eval_reports(spark, str(tmp_path / "r")).collect()] == ["eval_x"]
     path = str(tmp_path / "calls")
     writers.save_table(spark.range(100).selectExpr("id AS call_id", "0 AS v"), path, 4)
-    changed = spark.read.parquet(path).drop("bucket").withColumn("v", F.lit(1))
-    writers.save_table(changed, path, 4)
-    assert spark.read.parquet(path).agg(F.sum("v"), F.count("*")).first()[:] == (100, 100)
-    writers.save_table(spark.read.parquet(path).drop("bucket").filter("call_id > 1"), path, 4)
-    writers.save_table(spark.read.parquet(path).drop("bucket").filter("call_id < 4"), path, 64)
-    assert sorted(r.call_id for r in spark.read.parquet(path).collect()) == [2, 3]
-    writers.audit(spark.range(3).selectExpr("id AS call_id"), str(tmp_path / "audit"), "save")
-    writers.audit(spark.range(2).selectExpr("id AS call_id"), str(tmp_path / "audit"), "read")
-    assert spark.read.parquet(str(tmp_path / "audit")).count() == 5
+    load = lambda: writers.load_table(spark, path)
+    writers.save_table(load().withColumn("v", F.lit(1)), path, 4)
+    assert load().agg(F.sum("v"), F.count("*")).first()[:] == (100, 100)
+    writers.save_table(load().filter("call_id > 1"), path, 4)
+    writers.save_table(load().filter("call_id < 4"), path, 64)
+    assert sorted(r.call_id for r in load().collect()) == [2, 3]
+    writers.append_table(spark.range(7, 8).selectExpr("id AS call_id", "1 AS v"), path)
+    assert sorted(r.call_id for r in load().collect()) == [2, 3, 7]
+    # only one version is on disk, without what was removed
+    assert [f.name for f in (tmp_path / "calls").iterdir() if not f.name.startswith(".")] == ["v000000000003"]
+    assert spark.read.parquet(f"{path}/v000000000003").filter("call_id NOT IN (2, 3, 7)").count() == 0
+    with pytest.raises(FileNotFoundError):
+        writers.load_table(spark, str(tmp_path / "none"))
+
+
+def test_a_save_that_fails_midway_leaves_the_old_content(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    writers.save_table(spark.range(50).selectExpr("id AS call_id", "'old' AS v"), path, 4)
+    broken = writers.load_table(spark, path).withColumn(
+        "v", F.when(F.col("call_id") == 33, F.raise_error(F.lit("lost")).cast("string")).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        writers.save_table(broken, path, 4)
+    assert {r.v for r in writers.load_table(spark, path).collect()} == {"old"}
+    # files without a mark, as a driver leaves them that is lost before the switch
+    writers.with_bucket(spark.range(3).selectExpr("id AS call_id", "'half' AS v")).write.mode("overwrite").parquet(f"{path}/v000000000001")
+    assert writers.load_table(spark, path).count() == 50
+    writers.save_table(writers.load_table(spark, path).withColumn("v", F.lit("new")), path, 4)
+    assert writers.load_table(spark, path).groupBy("v").count().collect()[0][:] == ("new", 50)
+
+
+def test_audited_reads(spark, tmp_path):
+    key, other = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
+    path = str(tmp_path / "audit")
+    writers.audit(spark.range(3).selectExpr("id AS call_id"), path, "save")
+    writers.audit(spark.range(2).selectExpr("id AS call_id"), path, "read")
+    assert spark.read.parquet(path).count() == 5
+    calls = spark.createDataFrame([(1, None), (2, None), (3, "gone"), (4, None)], "call_id long, deleted_at string")
+    segs = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (2, 0, "b"), (3, 0, "c")], "call_id long, seq long, t string").withColumn(
+        "text_encrypted", store.encrypted(F.col("t"), key)).drop("t")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (4,), (9,)], "call_id long")
+    for _ in range(2):  # the job is run again
+        got = writers.audited_read(calls, segs, ids, key, path, "job-7", "ann")
+    assert sorted(tuple(r) for r in got.select("call_id", "seq", "text_original").collect()) == [(1, 0, "a"), (1, 1, None)]
+    rows = spark.read.parquet(path).filter("run = 'job-7'").select("actor", "action", "call_id", "detail").collect()
+    assert sorted(map(tuple, rows)) == [("ann", "read_transcript", "1", "segments=2 opened=1"), ("ann", "read_transcript", "4", "segments=0 opened=0")]
+    shut = writers.audited_read(calls, segs, ids, other, path, "job-8", "bob")
+    assert shut.filter("text_original is not null").count() == 0
+    assert {r.detail for r in spark.read.parquet(path).filter("actor = 'bob'").collect()} == {"segments=2 opened=0", "segments=0 opened=0"}
+    with pytest.raises(ValueError, match="run id"):
+        writers.audit(calls, path, "read", run_id="../x")
 
 
 NOISY = ["ваш... ваш счет ээ будет заблокирован на 3 000 000 тенге", "[шум] переведите 250000 тенге на безопасный счет эээ срочно",
