@@ -8,7 +8,7 @@ from callward import vocab as v
 from callward.operators.cut import scratch
 from callward.streaming import live
 from checks import analysis_sql as A
-from checks.common import CONJUNCTIONS, MARKERS, PROSE, check, turns
+from checks.common import CONJUNCTIONS, MARKERS, PROSE, check, table, turns
 
 
 def landed(spark, d, end_seconds: int | None = None):
@@ -46,3 +46,28 @@ def st01(spark, d):
         part.write.mode("append").parquet(arriving)
         live.run_available(scorer, live.turn_stream(spark, arriving, 1000, "parquet"))
     return live.frames_available(scorer, spark).withColumns({c: F.array_join(c, "|") for c in ("tactics", "scam_types")})
+
+
+@check("st03_event_time_stream", """WITH mark AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events WHERE event_id % 10 <> 0),
+    r AS (SELECT user_id, value, epoch_us(ts) // 3600000000 AS chunk, event_id FROM events)
+    SELECT user_id AS call_id, chunk::BIGINT AS chunk, count(*) AS n FROM r, mark
+    WHERE event_id % 10 <> 0 OR make_timestamp((chunk + 1) * 3600000000) > wm GROUP BY ALL""")
+def st03(spark, d):
+    """Hours of every user's events from a stream: a tenth comes too late unless its hour is still open, and a
+    last row of no user closes the hours that are left."""
+    root = scratch(spark, "slices")
+    arriving, root = scratch(spark, "events"), scratch(spark, "slices")
+    events = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("call_id"), F.col("event_id").cast("bigint").alias("event_id"),
+        F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))").alias("ts"))
+    end = events.agg((F.max("ts") + F.make_interval(days=F.lit(2))).alias("ts")).select(
+        F.lit("").alias("call_id"), F.lit(-1).cast("bigint").alias("event_id"), "ts")
+    stream = spark.readStream.schema(events.schema).parquet(arriving)
+    for part in (events.filter("event_id % 10 <> 0"), events.filter("event_id % 10 = 0"), end):
+        part.write.mode("append").parquet(arriving)
+        with live.state_partitions(spark, spark.sparkContext.defaultParallelism):
+            query = live.tumbling(stream, "1 hour", "2 hours").writeStream.format("parquet").option("path", f"{root}/out").option(
+                "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.parquet(f"{root}/out").filter("call_id <> ''")
+    return out.select(F.col("call_id").cast("bigint").alias("call_id"), F.floor(F.unix_timestamp("window.start") / 3600).alias("chunk"), "n")
