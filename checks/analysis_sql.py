@@ -280,7 +280,7 @@ def over_windows(size: int, finals: bool) -> str:
 
 #: Running values over the updates, for `over_windows`.
 SQL_HELD = f""",
-u AS (SELECT call_id.call_id AS call_id, call_id.upd AS upd, risk_score, stage, tactics, scam_types, {sql_case('stage', v.STAGE_DEPTH)} AS depth
+u AS (SELECT call_id.call_id AS call_id, call_id.upd AS upd, risk_score, risk_level, classification, stage, tactics, scam_types, {sql_case('stage', v.STAGE_DEPTH)} AS depth
   FROM assessed),
 seen AS (SELECT call_id, category, sec, quote, min(upd) AS upd, arg_min(severity, upd) AS severity FROM (
     SELECT call_id.call_id AS call_id, call_id.upd AS upd, category, sec, severity, {sql_quote_canon('evidence')} AS quote FROM events)

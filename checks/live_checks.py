@@ -149,6 +149,29 @@ def k09(spark, d):
     return frames(replay(segments(spark, d), PROSE, MARKERS, CONJUNCTIONS))
 
 
+@check("k09_frame_fields", f"""WITH RECURSIVE {A.over_windows(v.CONTEXT_WINDOW, False)} {A.SQL_HELD},
+    newest AS (SELECT call_id, upd, category, sec, severity FROM seen
+      QUALIFY row_number() OVER (PARTITION BY call_id, upd ORDER BY sec DESC, category DESC, severity DESC) = 1),
+    top AS (SELECT call_id, upd, max(category) AS category FROM crit GROUP BY 1, 2)
+    SELECT call_id, upd, 'risk_update' AS type, risk_score, risk_level AS classification, classification AS model_classification, stage AS current_stage,
+      all_tactics AS detected_tactics, peak AS peak_risk_score, upd + 1 AS segments_seen, newest.category AS event_category, newest.sec AS event_sec,
+      newest.severity AS event_severity,
+      CASE WHEN n_crit > 0 THEN 'CRITICAL' WHEN rank > highest THEN CASE rank WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'WARNING' ELSE 'MONITOR' END END AS alert_level,
+      CASE WHEN n_crit > 0 THEN top.category WHEN rank > highest THEN 'risk_score' END AS alert_trigger
+    FROM deep LEFT JOIN newest USING (call_id, upd) LEFT JOIN top USING (call_id, upd)""")
+def k09f(spark, d):
+    """The fields of the live frames, read back from their JSON."""
+    schema = ("type string, call_id string, risk_score int, classification string, model_classification string, current_stage string, "
+              "detected_tactics array<string>, peak_risk_score int, segments_seen bigint, "
+              "event struct<sec:bigint,category:string,severity:string,evidence:string>, alert struct<level:string,triggered_by:string,risk_score:int>")
+    f = k09(spark, d).select("call_id", "upd", F.from_json("frame", schema).alias("f"))
+    return f.filter("f.call_id = CAST(call_id AS STRING)").select(
+        "call_id", "upd", "f.type", "f.risk_score", "f.classification", "f.model_classification", "f.current_stage",
+        F.array_join("f.detected_tactics", "|").alias("detected_tactics"), "f.peak_risk_score", "f.segments_seen",
+        F.col("f.event.category").alias("event_category"), F.col("f.event.sec").alias("event_sec"), F.col("f.event.severity").alias("event_severity"),
+        F.col("f.alert.level").alias("alert_level"), F.col("f.alert.triggered_by").alias("alert_trigger"))
+
+
 @check("k10_report_lines")
 def k10(spark, d):
     from callward.operators import score
