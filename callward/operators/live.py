@@ -146,7 +146,7 @@ def critical_alerts(fresh: DataFrame, one_per_update: bool = False) -> DataFrame
 def alert_stream(df: DataFrame, fresh: DataFrame, one_per_update: bool = False, block: int = BLOCK) -> DataFrame:
     """Alerts of a replay: critical categories at once, score levels only when they escalate.
 
-    df(call_id, upd, risk_score); fresh from `fresh_events`.
+    df(call_id, upd, risk_score); fresh from `fresh_events`.  `score.guidance` has the advice that goes with a row.
     """
     crit = critical_alerts(fresh, one_per_update)
     marked = df.join(crit.select("call_id", "upd").distinct().withColumn("_crit", F.lit(3)), ["call_id", "upd"], "left")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callward import vocab
 from callward.functions.text import ActMarkers
-from callward.operators import concepts, score, sequence, verdict
+from callward.operators import concepts, grounding, score, sequence, verdict
 from callward.operators.cut import materialize
 from callward.params import Lexicon
 
@@ -78,6 +78,20 @@ def score_calls(analysis: Analysis, policy: score.Policy = score.Policy(),
     return Scored(**analysis.__dict__, partitioned=partitioned, assessed=assessed)
 
 
+def score_grounded(analysis: Analysis, findings: DataFrame, segments: DataFrame,
+                   policy: score.Policy = score.Policy()) -> tuple[Scored, DataFrame]:
+    """Score the findings of a model instead of the analysis' own events; (scored calls, dropped findings).
+
+    findings(call_id, quote_id, evidence, category, severity, ...): quotes are located in the transcript, their time and
+    speaker are those of the place found, and what has no place is dropped, counted, and told as a disagreement.
+    """
+    kept, dropped = grounding.ground(findings, segments)
+    kept, dropped = materialize(kept, "kept"), materialize(dropped, "dropped")
+    counts = dropped.groupBy("call_id").agg(F.count("*").alias("n_dropped"))
+    summary = analysis.summary.join(counts, "call_id", "left").fillna(0, ["n_dropped"])
+    return score_calls(replace(analysis, summary=summary), policy, kept), dropped
+
+
 def risk_scores(segments: DataFrame, lexicon: Lexicon, **kw) -> DataFrame:
     """The short way: one row per call with verdict, score, level and alert."""
     scored = score_calls(analyze(segments, lexicon, **kw))

@@ -10,6 +10,7 @@ from callward.operators import live as L
 from callward.operators import series as N
 from callward.operators import store as ST
 from callward.operators.prefix import blocks_of
+from callward.operators.verdict import RECOMMENDED_ACTION
 from callward.sources import readers as R
 from callward.sources import writers as W
 from checks import analysis_sql as A
@@ -181,6 +182,16 @@ def k10(spark, d):
     return W.report_lines(s.assessed, s.partitioned, score.ledger(s.assessed, s.partitioned), segments(spark, d))
 
 
+@check("k10_report_rows", A.with_score(f"""SELECT call_id, 2 AS section, (p - 1)::DOUBLE AS ord, '- ' || a AS line
+      FROM (SELECT call_id, unnest(requested_actions) AS a, generate_subscripts(requested_actions, 1) AS p FROM assessed)
+    UNION ALL SELECT call_id, 3, sec::DOUBLE, '| `' || {sql_ts('sec')} || '` | ' || speaker || ' | ' || category || ' | ' || severity || ' | '
+      || replace(evidence, '|', chr(92) || '|') || ' |' FROM part
+    UNION ALL SELECT call_id, 5, seq::DOUBLE, '[' || {sql_ts('start')} || '] ' || speaker || ': ' || text FROM seg"""))
+def k10r(spark, d):
+    """Requested actions, events and the transcript of every report; facts and ledger have checks of their own."""
+    return k10(spark, d).filter("section IN (2, 3, 5)")
+
+
 @check("p24_explanations")
 def p24(spark, d):
     from callward.operators import narrative
@@ -203,6 +214,23 @@ def k11(spark, d):
     return W.public_json(verdicts, s.events)
 
 
+@check("k11_public_fields", A.with_score(f"""SELECT v.call_id, classification, confidence, array_to_string(scam_types, '|') AS scam_types,
+      array_to_string(tactics, '|') AS tactics, stage, array_to_string(requested_actions, '|') AS requested_actions, coalesce(factors, '') AS factors,
+      {sql_case('classification', RECOMMENDED_ACTION)} AS recommended_action
+    FROM verdict v LEFT JOIN (SELECT call_id, string_agg({sql_ts('sec')} || ' ' || category || ' ' || severity || ' ' || speaker || ' ' || evidence, '|'
+      ORDER BY sec, category) AS factors FROM events GROUP BY 1) e ON e.call_id = v.call_id"""))
+def k11f(spark, d):
+    """The fields of the public JSON but the explanation, read back."""
+    schema = ("classification string, confidence double, scam_types array<string>, tactics array<string>, conversation_stage string, "
+              "requested_actions array<string>, risk_factors array<struct<timestamp:string,speaker:string,category:string,severity:string,evidence:string>>, "
+              "explanation string, recommended_action string")
+    f = k11(spark, d).select("call_id", F.from_json("payload", schema).alias("f")).filter("length(f.explanation) > 0")
+    joined = lambda c: F.array_join(f"f.{c}", "|").alias(c)
+    factors = F.transform("f.risk_factors", lambda x: F.concat_ws(" ", x["timestamp"], x["category"], x["severity"], x["speaker"], x["evidence"]))
+    return f.select("call_id", "f.classification", "f.confidence", joined("scam_types"), joined("tactics"), F.col("f.conversation_stage").alias("stage"),
+                    joined("requested_actions"), F.array_join(factors, "|").alias("factors"), "f.recommended_action")
+
+
 # --- grounding: conversation clauses and benchmark sentences as quotes ---------------------------
 
 _QUOTES = """SELECT conv_id AS call_id, turn * 2 AS quote_id, split_part(text, '.', 2) AS evidence FROM conversations
@@ -485,7 +513,19 @@ def n04(spark, d):
         "series_id", "first_frame", F.round("level", 6).alias("level"), F.round("crossings", 6).alias("crossings"))
 
 
-@check("n05_two_clusters")
+@check("n05_two_clusters", f"""WITH RECURSIVE {_SQL_SAMPLES},
+    w AS (SELECT *, lag(x) OVER (PARTITION BY series_id ORDER BY i) AS p FROM s),
+    f AS (SELECT series_id, 20 * log10(sqrt(avg(x * x)) + 1e-9) AS level,
+      100.0::DOUBLE * count(*) FILTER (p IS NOT NULL AND (p >= 0) <> (x >= 0)) / greatest(count(*) - 1, 1) AS crossings FROM w GROUP BY series_id),
+    pts AS (SELECT label::BIGINT AS g, series_id AS r, level, crossings FROM f JOIN embeddings ON vec_id = series_id),
+    c AS (SELECT g, 0 AS k, first(level ORDER BY level, crossings) AS al, first(crossings ORDER BY level, crossings) AS ac,
+        first(level ORDER BY level DESC, crossings DESC) AS bl, first(crossings ORDER BY level DESC, crossings DESC) AS bc FROM pts GROUP BY g
+      UNION ALL SELECT c.g, c.k + 1, coalesce(avg(level) FILTER (NOT far), max(al)), coalesce(avg(crossings) FILTER (NOT far), max(ac)),
+        coalesce(avg(level) FILTER (far), max(bl)), coalesce(avg(crossings) FILTER (far), max(bc))
+      FROM (SELECT c.*, level, crossings, (level - al) ** 2 + (crossings - ac) ** 2 > (level - bl) ** 2 + (crossings - bc) ** 2 AS far
+        FROM c JOIN pts ON pts.g = c.g WHERE c.k < 24) c GROUP BY c.g, c.k)
+    SELECT c.g AS series_id, r AS first_frame, ((level - al) ** 2 + (crossings - ac) ** 2 > (level - bl) ** 2 + (crossings - bc) ** 2)::BIGINT AS cluster
+    FROM c JOIN pts ON pts.g = c.g WHERE k = 24""")
 def n05(spark, d):
     """Vectors of one label form a group; each vector is one region."""
     pts = N.region_features(samples(spark, d), N.thresholds(N.frame_levels(samples(spark, d), FRAME)).selectExpr(

@@ -394,7 +394,17 @@ def t08(spark, d):
       QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY sec, category) = 1) c USING (call_id)"""))
 def a18(spark, d):
     s = scored(spark, d)
-    return score.alerts(s.assessed, s.partitioned).drop("headline")
+    return score.alerts(s.assessed, s.partitioned).drop("headline", "detail", "guidance")
+
+
+@check("j05_guidance", A.with_score(f"""SELECT a.call_id, CASE WHEN c.category IS NOT NULL THEN {sql_case('c.category', verdict.GUIDANCE, "''")}
+      ELSE {sql_case('alert_level', verdict.GUIDANCE, "''")} END AS guidance,
+    CASE WHEN c.category IS NOT NULL THEN true ELSE false END AS quoted FROM assessed a LEFT JOIN (
+      SELECT call_id, category FROM part WHERE rejected IS NULL AND category IN {sql_in(v.HARMFUL)} AND severity = 'CRITICAL'
+      QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY sec, category) = 1) c USING (call_id)"""))
+def j05(spark, d):
+    s = scored(spark, d)
+    return score.alerts(s.assessed, s.partitioned).select("call_id", "guidance", F.col("detail").startswith("said: ").alias("quoted"))
 
 
 @check("a19_disagreement", A.with_score("SELECT call_id, disagreement FROM assessed"))

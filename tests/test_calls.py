@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from callward.operators import score, segments
 from callward.plans import batch
-from tests.calls import LEXICON, turns
+from tests.calls import CALLS, LEXICON, turns
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,17 @@ def test_fabricated_evidence_is_dropped(spark):
 def test_plan_has_no_python_and_one_scan(spark):
     plan = batch.risk_scores(segments.from_turns(turns(spark)), LEXICON)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_findings_without_a_place_are_dropped_and_told(spark):
+    segs = segments.from_turns(turns(spark, {k: CALLS[k] for k in ("scam", "live", "name")}), clean=False)
+    analysis = batch.analyze(segs, LEXICON)
+    own = analysis.events.withColumn("quote_id", F.monotonically_increasing_id())
+    made_up = F.when((F.col("call_id") == "name") | (F.col("category") == "URGENCY"), F.lit("qqq zzz wholly other words 99")).otherwise(F.col("evidence"))
+    scored, dropped = batch.score_grounded(analysis, own.withColumn("evidence", made_up), segs)
+    lost = {r.call_id: r.n for r in dropped.groupBy("call_id").agg(F.count("*").alias("n")).collect()}
+    told = {r.call_id: (r.n_dropped, r.disagreement) for r in scored.assessed.select("call_id", "n_dropped", "disagreement").collect()}
+    assert {k: n for k, (n, _) in told.items() if n} == lost and lost
+    assert all((n > 0) == (text == "some findings had no place in the transcript") for n, text in told.values() if text is None or text.startswith("some"))
+    plain = {r.call_id: r.risk_score for r in batch.score_calls(analysis).assessed.collect()}
+    assert {r.call_id: r.risk_score for r in scored.assessed.collect()}.keys() == plain.keys()
