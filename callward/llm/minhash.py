@@ -46,6 +46,7 @@ MARGIN = 0.1
 LEAST = SHARE[0] / SHARE[1] - MARGIN
 BLOCK = 2048
 CELL = 512
+SLICE = 2 << 20  # bytes of text that are cut into shingles at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NIBBLES = np.uint64(0x1111111111111111)
 
@@ -107,7 +108,7 @@ SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, bands
 def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"))
                 digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
                 lows = [minima(s) if len(s) else None for s in sets]
