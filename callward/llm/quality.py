@@ -25,6 +25,7 @@ SAMPLE_ROWS = 6000
 SAMPLE_TEXT_BYTES = 64_000
 SHAPE = Shape()
 EPOCHS, BATCH, UNITS, RATE = 12, 64, 64, 0.3
+SLICE = 2 << 20  # bytes of text that are scored at once
 
 
 def train(rows: list[tuple[str, int, float]], shape: Shape = SHAPE, epochs: int = EPOCHS, seed: int = 7, units: int = UNITS) -> Model:
@@ -88,7 +89,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(scores(part.column("text"), model))], names=["doc_id", "score"])
 
@@ -99,7 +100,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     """The documents that score at least the threshold, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SLICE):
                 yield part.filter(pa.array(scores(part.column("text"), model) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

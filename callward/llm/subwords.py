@@ -100,8 +100,8 @@ def pairs(hashes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
 def word_weights(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(logit share of each word, its hash)."""
     values, hashes = [np.zeros(0)], [np.zeros(0, np.uint64)]
-    for k in range(0, len(words), 50_000):
-        part = words[k:k + 50_000]
+    for k in range(0, len(words), 16_384):
+        part = words[k:k + 16_384]
         of, at, whole = features(part, model.shape)
         if model.known is not None:
             counts = model.known[at]
