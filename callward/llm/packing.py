@@ -32,6 +32,7 @@ from callward.operators.cut import materialize
 
 CAPACITY = 2048
 GROUP_ROWS = 8192
+SLICE = 4 << 20  # bytes of text that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # Fixed values of the word vocabulary: how it splits a lower-case text into words.  Within the
@@ -130,7 +131,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SLICE):
                 ids, ends = code.encode(part.column("text"), end_id)
                 own = np.diff(ends)
                 many = -(-own // capacity)
