@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callward import vocab as v
 from callward.operators import concepts, lexicon_table, score, sequence, verdict
 from callward.operators import store as ST
+from callward.operators.cut import materialize
 from callward.params import Lexicon, dimension
 from callward.plans import batch
 from checks import analysis_sql as A
@@ -20,7 +21,8 @@ def clauses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context(spark: SparkSession, d: str) -> DataFrame:
-    sig = sequence.signals(clauses(spark, d)).drop("padded")
+    # the marks and the join read the signals six times, and patterns are costly
+    sig = materialize(sequence.signals(clauses(spark, d)).drop("padded"), "signals")
     return sequence.in_context(sig, sequence.context_marks(sig))
 
 

@@ -81,3 +81,15 @@ def test_running_in_blocks_equals_a_plain_window(spark):
             (F.col("x") if inclusive else F.lag("x").over(Window.partitionBy("k").orderBy("i"))).alias("p"),
             F.coalesce(F.bit_or(F.col("x").cast("long")).over(w), F.lit(0)).alias("b"))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rules_find_patterns_once(spark, tmp_path, capsys):
+    """The context reads the signals several times; no pattern may be sought again in any of them."""
+    from checks import score_checks
+
+    rows = [(c, t, "user" if t % 2 else "assistant", "that thing. of the und in the on to. reti the at.") for c in range(3) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    context = score_checks.context(spark, str(tmp_path))
+    context.explain()
+    assert "RLIKE" not in capsys.readouterr().out
+    assert context.count() > 0
