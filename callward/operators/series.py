@@ -95,8 +95,11 @@ def region_features(samples: DataFrame, regions: DataFrame, frame_len: int) -> D
 
 
 def two_clusters(features: DataFrame, iterations: int = 25) -> DataFrame:
-    """Split the regions of each series into two clusters, by joins and averages over the cluster."""
-    points = features
+    """Split the regions of each series into two clusters, by joins and averages over the cluster.
+
+    The features are computed once; every round reads them.
+    """
+    points = materialize(features.select("series_id", "first_frame", "level", "crossings"), "points")
     p = F.struct("level", "crossings")
     centres = points.groupBy("series_id").agg(F.min(p).alias("a"), F.max(p).alias("b"))
 
