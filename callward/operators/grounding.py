@@ -1,7 +1,8 @@
 """Locating quotes in the transcript they claim to come from.
 
-Containment is settled in the JVM: pairs are found through hashes of shared character
-grams, which travel with ids only, so no call produces all its pairs.
+Containment is settled in the JVM.  The texts of a call with few pairs meet by call, each of them
+shuffled once; in longer calls pairs are found through hashes of shared character grams, which travel
+with ids only, so that none produces all its pairs.  Both ways give the same rows.
 
 Quotes that are contained nowhere are compared by similarity, filter first and verify then:
 * a matching ratio at the threshold bounds the lengths, so that texts meet by length class, and the
@@ -28,6 +29,8 @@ from callward.functions import text as T
 from callward.operators.cut import materialize
 
 GRAMS = (1, 2, 4, 8, 16)
+#: Calls with no more pairs of a quote and an utterance compare them all.
+PAIRS = 65_536
 
 
 def haystacks(segments: DataFrame) -> DataFrame:
@@ -65,13 +68,31 @@ def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return texts.filter(F.col("_o").contains(F.col("_i"))).select("call_id", "i", "o")
 
 
-def contained(quotes: DataFrame, hays: DataFrame) -> DataFrame:
+def _by_pairs(quotes: DataFrame, hays: DataFrame, at_once: int) -> DataFrame:
+    """(call_id, few): whether a call has at most `at_once` pairs; calls without a pair are left out."""
+    a, b = (df.groupBy("call_id").agg(F.count("*").alias(n)) for df, n in ((quotes, "a"), (hays, "b")))
+    return materialize(a.join(b, "call_id").select("call_id", (F.col("a") * F.col("b") <= at_once).alias("few")), "pairs")
+
+
+def _met(quotes: DataFrame, hays: DataFrame, few: DataFrame, condition: Column) -> DataFrame:
+    """(call_id, i, o) of the texts a, b of calls with few pairs for which the condition holds."""
+    a = quotes.join(few.filter("few").select("call_id"), "call_id", "left_semi")
+    return a.alias("a").join(hays.alias("b"), "call_id").filter(condition).select(
+        "call_id", F.col("a.id").alias("i"), F.col("b.id").alias("o"))
+
+
+def contained(quotes: DataFrame, hays: DataFrame, at_once: int = PAIRS) -> DataFrame:
     """quotes(call_id, quote_id, needle) -> (call_id, quote_id, seq) of the first containing utterance."""
     # equal texts of a call are one text
     q = quotes.select("call_id", F.xxhash64("needle").alias("id"), F.col("needle").alias("t")).distinct()
     h = hays.select("call_id", F.xxhash64("hay").alias("id"), F.col("hay").alias("t"), F.col("at.seq").alias("seq"))
     texts = h.select("call_id", "id", "t")
-    pairs = _contained(q, texts).unionByName(_contained(texts, q).select("call_id", F.col("o").alias("i"), F.col("i").alias("o")))
+    few = _by_pairs(q, texts, at_once)
+    near = _met(q, texts, few, F.col("b.t").contains(F.col("a.t")) | F.col("a.t").contains(F.col("b.t")))
+    many = few.filter("NOT few").select("call_id")
+    long_q, long_h = q.join(many, "call_id", "left_semi"), texts.join(many, "call_id", "left_semi")
+    pairs = near.unionByName(_contained(long_q, long_h)).unionByName(
+        _contained(long_h, long_q).select("call_id", F.col("o").alias("i"), F.col("i").alias("o")))
     first = pairs.join(h.select("call_id", F.col("id").alias("o"), "seq"), ["call_id", "o"]).groupBy("call_id", "i").agg(F.min("seq").alias("seq"))
     return quotes.select("call_id", "quote_id", F.xxhash64("needle").alias("i")).join(first, ["call_id", "i"]) \
         .groupBy("call_id", "quote_id").agg(F.min("seq").alias("seq"))
@@ -118,23 +139,42 @@ def _alike(quotes: DataFrame, hays: DataFrame, t: float) -> DataFrame:
     that length classes of that width meet their neighbours only.
     """
     width = math.log((2 - t) / t) + 1e-9
-    classed = lambda df: df.select("call_id", "id", F.length("t").alias("n"), _letters("t").alias("letters"),
-                                   F.floor(F.log(F.length("t")) / width).alias("cls"))
+    classed = lambda df: _lettered(df).withColumn("cls", F.floor(F.log("n") / width))
     a = classed(quotes).withColumn("cls", F.explode(F.array(*(F.col("cls") + k for k in (-1, 0, 1)))))
     pairs = a.alias("a").join(classed(hays).alias("b"), ["call_id", "cls"])
-    lengths, letters = "2D * least(a.n, b.n) / (a.n + b.n)", f"2D * {_SHARED} / (a.n + b.n)"
-    return pairs.filter(f"{lengths} >= {t - 1e-9}D").filter(f"{letters} >= {t - 1e-9}D").select(
-        "call_id", F.col("a.id").alias("i"), F.col("b.id").alias("o"))
+    lengths, letters = _bounds(t)
+    return pairs.filter(lengths).filter(letters).select("call_id", F.col("a.id").alias("i"), F.col("b.id").alias("o"))
+
+
+def _lettered(texts: DataFrame, *kept: str) -> DataFrame:
+    return texts.select("call_id", "id", *kept, F.length("t").alias("n"), _letters("t").alias("letters"))
+
+
+def _bounds(t: float) -> tuple[str, str]:
+    """Whether lengths, and letters, of texts a and b allow a matching ratio of t."""
+    return f"2D * least(a.n, b.n) / (a.n + b.n) >= {t - 1e-9}D", f"2D * {_SHARED} / (a.n + b.n) >= {t - 1e-9}D"
+
+
+def _middle(text: str, t: float) -> Column:
+    """What every piece of a share t of a text holds."""
+    least = F.ceil(F.length(text) * (t - 1e-9)).cast("int")
+    return F.substring(text, F.length(text) - least + 1, 2 * least - F.length(text))
 
 
 def _pieced(quotes: DataFrame, hays: DataFrame, t: float) -> DataFrame:
     """(call_id, i, o) of quotes whose middle, which every piece of a share t holds, occurs in an utterance."""
-    least = F.ceil(F.length("t") * (t - 1e-9)).cast("int")
-    middle = quotes.select("call_id", "id", F.substring("t", F.length("t") - least + 1, 2 * least - F.length("t")).alias("t"))
-    return _contained(middle, hays)
+    return _contained(quotes.select("call_id", "id", _middle("t", t).alias("t")), hays)
+
+
+def _near(quotes: DataFrame, hays: DataFrame, few: DataFrame, t: float) -> DataFrame:
+    """What `_alike` and `_pieced` give, in calls with few pairs."""
+    lengths, letters = _bounds(t)
+    held = F.col("b.t").contains(F.col("a.middle"))
+    return _met(_lettered(quotes.withColumn("middle", _middle("t", t)), "middle"), _lettered(hays, "t"), few,
+                held | (F.expr(lengths) & F.expr(letters)))
 
 
-def fuzzy(residue: DataFrame, hays: DataFrame) -> DataFrame:
+def fuzzy(residue: DataFrame, hays: DataFrame, at_once: int = PAIRS) -> DataFrame:
     """Best similar utterance at or above the threshold for quotes contained nowhere.
 
     residue(call_id, quote_id, needle); hays from `haystacks`.  Equal texts of a call are compared once.
@@ -143,7 +183,10 @@ def fuzzy(residue: DataFrame, hays: DataFrame) -> DataFrame:
     q = residue.select("call_id", F.xxhash64("needle").alias("id"), F.col("needle").alias("t")).distinct()
     h = hays.select("call_id", F.xxhash64("hay").alias("id"), F.col("hay").alias("t"), F.col("at.seq").alias("seq"))
     texts = h.select("call_id", "id", "t")
-    pairs = _alike(q, texts, t).unionByName(_pieced(q, texts, t)).distinct()
+    few = _by_pairs(q, texts, at_once)
+    many = few.filter("NOT few").select("call_id")
+    long_q, long_h = q.join(many, "call_id", "left_semi"), texts.join(many, "call_id", "left_semi")
+    pairs = _alike(long_q, long_h, t).unionByName(_pieced(long_q, long_h, t)).distinct().unionByName(_near(q, texts, few, t))
     scored = pairs.join(q.select("call_id", F.col("id").alias("i"), F.col("t").alias("needle")), ["call_id", "i"]) \
         .join(h.select("call_id", F.col("id").alias("o"), F.col("t").alias("hay"), "seq"), ["call_id", "o"]) \
         .withColumn("score", similarity("needle", "hay")).filter(F.col("score") >= t)

@@ -9,6 +9,7 @@ from callward.operators import grounding as G
 from callward.operators import live as L
 from callward.operators import series as N
 from callward.operators import store as ST
+from callward.operators.cut import materialize
 from callward.operators.prefix import blocks_of
 from callward.operators.verdict import RECOMMENDED_ACTION
 from callward.sources import readers as R
@@ -257,7 +258,8 @@ def _needles(spark, d):
 
 @check("j03_grounding_containment", _SQL_GROUND)
 def j03(spark, d):
-    return G.contained(_needles(spark, d), G.haystacks(segments(spark, d)))
+    # both are read several times
+    return G.contained(materialize(_needles(spark, d), "quotes"), materialize(G.haystacks(segments(spark, d)), "utterances"))
 
 
 @check("j03_grounding_by_grams", _SQL_GROUND)

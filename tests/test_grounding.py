@@ -72,3 +72,25 @@ def test_pairs_are_few_and_no_join_goes_by_call_alone(spark, capsys):
 def test_nothing_to_compare(spark):
     spoken = spark.createDataFrame([], "call_id long, seq long, text string").withColumn("text_original", F.col("text"))
     assert grounding.fuzzy(spark.createDataFrame([(1, 1, "a b c")], "call_id long, quote_id long, needle string"), grounding.haystacks(spoken)).count() == 0
+
+
+def test_calls_with_few_pairs_and_long_ones_ground_alike(spark, capsys):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    hays = [(c, k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 15)))) for c in range(5) for k in range(12)]
+    quotes = [(c, k, _changed(rng, text) if k % 2 else text[3:-2].strip() or "a") for c, k, text in hays]
+    quotes += [(c, 100 + k, text + " and more") for c, k, text in hays[::5]] + [(9, 1, "a")]
+    spoken = spark.createDataFrame(hays, "call_id long, seq long, text string").withColumn("text_original", F.col("text"))
+    q, h = spark.createDataFrame(quotes, "call_id long, quote_id long, needle string"), grounding.haystacks(spoken)
+    for find in (grounding.contained, grounding.fuzzy):
+        # all calls by their pairs, none, and those below a bound
+        got = [sorted(tuple(r) for r in find(q, h, n).collect()) for n in (10**9, 0, 200)]
+        assert got[0] == got[1] == got[2] and len(got[0]) > 20
+
+
+def test_texts_of_calls_with_few_pairs_are_not_cut_into_grams(spark):
+    text = " ".join(f"word{k}" for k in range(400))
+    texts = spark.createDataFrame([(c, c, text) for c in range(20)], "call_id long, id long, t string")
+    few = grounding._by_pairs(texts, texts, grounding.PAIRS)
+    assert few.filter("few").count() == 20 and few.filter("NOT few").count() == 0
+    assert grounding._met(texts, texts, few, F.col("b.t").contains(F.col("a.t"))).count() == 20
