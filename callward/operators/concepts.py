@@ -32,8 +32,8 @@ def mask_sql(padded: str, lexicon: Lexicon) -> str:
     a full card number hides the partial one.
     """
     found = " | ".join(
-        f"IF({padded} RLIKE '{lexicon.pattern(c)}', {bit(c)}L, 0L)"
-        for c in vocab.CONCEPTS if lexicon.pattern(c)
+        f"IF({test}, {bit(c)}L, 0L)"
+        for c in vocab.CONCEPTS if (test := lexicon.test_sql(c, padded))
     ) or "0L"
     return resolved_sql(found, padded, lexicon.otp_password_phrase)
 

@@ -11,6 +11,8 @@ from callward import vocab
 from callward.functions.text import ActMarkers, canon_text
 
 MAX_LEXICON_ROWS = 50_000
+OPEN = "[^ ]*"  # the rest of a word
+PLAIN_STEMS = 16  # a concept of more stems is one pattern
 
 
 def stem_pattern(stem: str, exact: bool) -> str | None:
@@ -26,8 +28,8 @@ def stem_pattern(stem: str, exact: bool) -> str | None:
     out = []
     for i, tok in enumerate(toks):
         open_ended = not exact and (len(tok) >= 4 or (i == last and last > 0))
-        out.append(tok + ("[^ ]*" if open_ended else ""))
-    closed = "" if out[last].endswith("[^ ]*") else " "
+        out.append(tok + (OPEN if open_ended else ""))
+    closed = "" if out[last].endswith(OPEN) else " "
     return " ".join(out) + closed
 
 
@@ -72,6 +74,20 @@ class Lexicon:
         group = self.stems.get(concept)
         return " (?:" + "|".join(p for _, p in group) + ")" if group else None
 
+    def test_sql(self, concept: str, padded: str) -> str | None:
+        """SQL for "`pattern` occurs in `padded`"; stems that are plain text are looked for without a pattern."""
+        group = [p for _, p in self.stems.get(concept, ())]
+        if not group:
+            return None
+        if len(group) > PLAIN_STEMS:
+            return f"{padded} RLIKE '{self.pattern(concept)}'"
+        tests = []
+        for p in dict.fromkeys(group):
+            text = p.removesuffix(OPEN)
+            begins = f"contains({padded}, ' {text.split(OPEN)[0]}')"
+            tests.append(begins if OPEN not in text else f"({begins} AND {padded} RLIKE ' {p}')")
+        return "(" + " OR ".join(tests) + ")"
+
     def protected_stems(self) -> tuple[str, ...]:
         found = {canon_text(s) for c, s in self.entries if c in vocab.PROTECTED_CONCEPTS}
         return tuple(sorted(found - {""}, key=lambda s: (-len(s), s)))

@@ -57,6 +57,8 @@ def analyze_signals(sig: DataFrame, realtime: bool = False, cut: bool = True) ->
     calls = verdict.call_facts(context)
     observations = sequence.first_observations(context)
     base = verdict.dedupe_events(sequence.clause_events(context))
+    if cut:  # the verdicts read both, and the events again
+        observations, base = materialize(observations, "observations"), materialize(base, "base")
     summary = verdict.summarize_calls(
         calls, base, sequence.call_context(context), observations, realtime)
     if cut:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,9 @@ def analyze_updates(segments: DataFrame, lexicon: Lexicon, markers: ActMarkers =
 
 def analyze_windows(windows: DataFrame, realtime: bool = True) -> tuple[DataFrame, DataFrame]:
     """(scored updates, events per update) of signal rows that repeat for every update they are heard in."""
-    scored = batch.score_calls(batch.analyze_signals(live.as_calls(windows), realtime))
+    analysis = batch.analyze_signals(live.as_calls(windows), realtime)
+    # the scores read the events, and the caller again
+    scored = batch.score_calls(replace(analysis, events=materialize(analysis.events, "events")))
     updates = live.from_calls(scored.assessed.select(
         "call_id", "classification", "confidence", "risk_score", "risk_level", "stage", "tactics", "scam_types"))
     updates = updates.withColumnRenamed("classification", "model_classification").withColumn("n_seen", F.col("upd") + 1)

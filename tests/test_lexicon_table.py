@@ -61,3 +61,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "concept string, stem string, ord int")
     assert [r["mask"] for r in lexicon_table.clauses(segs, none).collect()] == [0]
     assert lexicon_table.clauses(segs.limit(0), none).count() == 0
+
+
+def test_plain_stems_need_no_pattern(spark):
+    lexicon = Lexicon.of({"THREAT": ("arrest", "on", "you will lose it"), "URGENCY": ("act now", "arrest the man"), "FEAR": tuple(f"word{k}" for k in range(40))})
+    assert "RLIKE" not in Lexicon.of({"THREAT": ("arrest", "on", "my man")}).test_sql("THREAT", "h")
+    assert lexicon.test_sql("FEAR", "h").count("RLIKE") == 1
+    texts = ["", "arrested", "an arrest", "rearrest", "on", "only", "act nowadays", "act no", "react now", "you willing lose items", "you will lose", "arresting the manor",
+             "arrest a man", "word399", "sword3"]
+    df = spark.createDataFrame([(f" {t} ",) for t in texts], "h string")
+    for concept in lexicon.stems:
+        got = df.selectExpr("h", f"{lexicon.test_sql(concept, 'h')} AS got", f"h RLIKE '{lexicon.pattern(concept)}' AS want").collect()
+        assert [r.got for r in got] == [r.want for r in got] and any(r.got for r in got)
