@@ -4,8 +4,8 @@ Turns arrive as files or messages keyed by call.  Three steps, each reading only
 
 1. `utterances` and `batch.signal_rows`, projections in the JVM: cleanup, clauses, concepts, speech acts.
 2. `CallContext`, a stateful operator: numbers and times the turns of a call, holds the last forty
-   and repeats them for every new turn as the window that is to be analysed; when the call closes or
-   falls silent, it gives all of them back once for the full analysis.
+   and tells in which windows they are heard, which the JVM then repeats for every new turn; when the
+   call closes or falls silent, it gives all of them back once for the full analysis.
 3. `LiveScorer`, a foreachBatch function: the rules of the batch plan over these windows.
 
 `monitor` then holds peak, stages, labels, seen events and alert level per call, from the updates that
@@ -15,18 +15,19 @@ step 3 writes.  Nothing that has landed is read again.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callward import vocab
 from callward.functions import text as T
+from callward.operators.concepts import position
 from callward.operators.cut import materialize
 from callward.params import Lexicon
 from callward.plans import batch
@@ -77,26 +78,26 @@ def utterances(turns: DataFrame, clean: bool = False, stems: tuple[str, ...] = (
 
 
 class CallContext(StatefulProcessor):
-    """Signal rows of new turns in, rows of windows out, with the update they belong to.
+    """Signal rows of new turns in; out come turns, each with the updates in whose windows it is heard.
 
-    A turn that was sent again, or lies before the window, is given as `late` (update -1) and changes
-    nothing.  Turns are numbered in the order of `seq` within a micro-batch, then of arrival.  A missing
-    start follows the clock of the call: the given end of the turn before, or its start and a cadence.
-    A call ends with its closing row, or when the watermark is `idle` seconds past its last turn; it then
-    gives all its rows once as `final`, as the update after the last.  After a closing row later turns are
-    late for as long; a call that speaks again after a silence begins anew.
+    The columns that the rules read pass through as text; a row that comes out is one turn with the texts of its
+    signal rows and a range of updates, however many windows it lies in.  A turn that was sent again, or lies before
+    the window, is given as `late` (update -1) and changes nothing.  Turns are numbered in the order of `seq` within a
+    micro-batch, then of arrival.  A missing start follows the clock of the call: the given end of the turn before, or
+    its start and a cadence.  A call ends with its closing row, or when the watermark is `idle` seconds past its last
+    turn; it then gives all its turns once as `final`, as the update after the last.  After a closing row later turns
+    are late for as long; a call that speaks again after a silence begins anew.
 
     State per call: counters, the window as one value, and a list that grows with the live call and is
-    gone with it.  A key's rows of one micro-batch are held in memory.
+    gone with it.  A key's rows of one micro-batch, and the turns of a call that ends, are held in memory.
     """
 
-    AT_ONCE = 50_000
+    INPUT = ("call_id", "seq", "clause_ix", "start", "end", "ts", "us", "closed", "n_chars", "body", "signal")
+    OUTPUT = "call_id string, seq bigint, start double, end double, signals array<string>, upd bigint, until bigint, kind string"
+    ROW = Row("call_id", "seq", "start", "end", "signals", "upd", "until", "kind")
 
-    def __init__(self, columns: list[tuple[str, str]], window: int = vocab.CONTEXT_WINDOW, idle: int = IDLE_SECONDS,
-                 cadence: float = 6.0):
-        """`columns`: name and type of the signal columns, in order."""
-        self.columns, self.window, self.idle, self.cadence = columns, window, idle, cadence
-        self.names = [c for c, _ in columns]
+    def __init__(self, window: int = vocab.CONTEXT_WINDOW, idle: int = IDLE_SECONDS, cadence: float = 6.0):
+        self.window, self.idle, self.cadence = window, idle, cadence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -104,108 +105,91 @@ class CallContext(StatefulProcessor):
         self.recent = handle.getValueState("recent", "turns string")
         self.whole = handle.getListState("whole", "turn string")
 
-    def _turns(self, frames: Iterator[pd.DataFrame]) -> tuple[list[tuple[int, int, list[dict]]], bool, int]:
-        """(number, characters and rows of each turn, whether the call closes, its newest time in milliseconds)."""
-        rows = pd.concat(list(frames), ignore_index=True)
-        newest = rows["us"].max()
-        closing = rows["closed"].astype(bool)
-        rows = rows[~closing]
-        # of a number that was sent with several texts the first one counts
-        rows = rows[rows["body"] == rows.groupby("seq")["body"].transform("first")]
-        rows = rows.sort_values(["seq", "clause_ix"], kind="stable").drop_duplicates(["seq", "clause_ix"])
-        out: list[tuple[int, int, list[dict]]] = []
-        for number, own in rows.groupby("seq", sort=True):
-            plain = own[self.names].astype(object).where(own[self.names].notna(), None).to_dict("records")
-            out.append((int(number), int(own["n_chars"].iloc[0]), plain))
-        return out, bool(closing.any()), 0 if pd.isna(newest) else int(newest) // 1000
-
-    def _timed(self, rows: list[dict], chars: int, n: int, clock: float) -> tuple[list[dict], float]:
-        """Rows of a turn with its number and times in the call, and when the next turn begins."""
+    def _turns(self, rows: Iterator[Row]) -> tuple[list[tuple[int, list[Row]]], bool, int]:
+        """(number and rows of each turn, whether the call closes, its newest time in milliseconds)."""
+        found: dict[int, dict[int, Row]] = {}
+        bodies: dict[int, int] = {}
+        closes, newest = False, None
+        for row in rows:
+            if row.us is not None and (newest is None or row.us > newest):
+                newest = row.us
+            if row.closed:
+                closes = True
+            # of a number that was sent with several texts the first one counts
+            elif row.seq is not None and bodies.setdefault(row.seq, row.body) == row.body:
+                found.setdefault(row.seq, {}).setdefault(row.clause_ix, row)
+        turns = [(number, [own[ix] for ix in sorted(own)]) for number, own in sorted(found.items())]
+        return turns, closes, 0 if newest is None else newest // 1000
+
+    def _timed(self, start: float | None, end: float | None, chars: int, clock: float) -> tuple[float, float, float]:
+        """When a turn begins and ends in the call, and when the next turn begins."""
         speaking = max(2.0, min(9.0, chars / 14.0))
-        start, end = rows[0]["start"], rows[0]["end"]
-        begins = clock if start is None else float(start)
-        after = begins + max(self.cadence, speaking + 0.6) if end is None else float(end) + max(self.cadence - speaking, 0.6)
-        ends = max(begins, begins + speaking if end is None else float(end))
-        return [row | {"seq": n, "pos": (n << 32) + int(row["clause_ix"]), "start": begins, "end": ends} for row in rows], after
-
-    def _frame(self, key: tuple, rows: list[dict], upds: list[int], kind: str) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.names)
-        for c, t in self.columns:
-            out[c] = out[c].astype({"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "bool"}.get(t, "object"))
-        out.insert(0, "call_id", key[0])
-        return out.assign(upd=pd.Series(upds, dtype="int64"), kind=kind)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, clock, last, closed = self.head.get() if self.head.exists() else (0, 1.5, 0, False)
+        begins = clock if start is None else start
+        after = begins + max(self.cadence, speaking + 0.6) if end is None else end + max(self.cadence - speaking, 0.6)
+        return begins, max(begins, begins + speaking if end is None else end), after
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        head = self.head.get()
+        n, clock, last, closed = head or (0, 1.5, None, False)
         turns, closes, newest = self._turns(rows)
-        held = json.loads(self.recent.get()[0]) if self.recent.exists() else []
+        # [number, [place in the call, start, end, signals]] of the turns in the window
+        held = json.loads(self.recent.get()[0]) if n and not closed else []
         known = {number for number, _ in held}
-        late: list[dict] = []
-        out: list[dict] = []
-        upds: list[int] = []
-        fresh = []
-        for number, chars, own in turns:
+        begun, heard, fresh = n, list(held), []
+        for number, own in turns:
+            start, end, signals = _number(own[0].start), _number(own[0].end), [row.signal for row in own]
             if closed or number in known or (len(held) == self.window and number < min(known)):
-                late += own
+                yield self.ROW(key[0], number, start, end, signals, -1, -1, "late")
                 continue
-            own, clock = self._timed(own, chars, n, clock)
-            raw = json.dumps(own, default=_plain)
-            own = json.loads(raw)
-            fresh.append((raw,))
-            held.append([number, own])
+            begins, ends, clock = self._timed(start, end, own[0].n_chars, clock)
+            turn = [n, begins, ends, signals]
+            fresh.append((json.dumps(turn),))
+            held.append([number, turn])
+            heard.append([number, turn])
             known.add(number)
             if len(held) > self.window:
                 known.discard(held.pop(0)[0])
-            for _, each in held:
-                out += each
-                upds += [n] * len(each)
             n += 1
-            if len(out) > self.AT_ONCE:
-                yield self._frame(key, out, upds, "update")
-                out, upds = [], []
-        if out:
-            yield self._frame(key, out, upds, "update")
-        if late:
-            yield self._frame(key, late, [-1] * len(late), "late")
-        if fresh:
-            self.whole.appendList(fresh)
-            self.recent.update((json.dumps(held),))
+        for _, (k, begins, ends, signals) in heard:
+            first, until = max(k, begun), min(k + self.window, n) - 1
+            if first <= until:
+                yield self.ROW(key[0], k, begins, ends, signals, first, until, "update")
         if closes and not closed:
-            yield from self._final(key, n)
+            yield from self._final(key, n, begun > 0, [turn for turn, in fresh])
             closed = True
-        last = max(last, newest)
-        self.head.update((n, clock, last, closed))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + 1000 * self.idle)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists():
-            n, _, _, closed = self.head.get()
+        elif fresh:
+            self.whole.appendList(fresh)
+            self.recent.update((json.dumps(held),))
+        due = max(last or 0, newest)
+        self.head.update((n, clock, due, closed))
+        if due != last:
+            # a call that is known has one timer, of its last turn
+            if last is not None:
+                self.handle.deleteTimer(last + 1000 * self.idle)
+            self.handle.registerTimer(due + 1000 * self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head = self.head.get()
+        if head:
+            n, _, _, closed = head
             if not closed:
-                yield from self._final(key, n)
+                yield from self._final(key, n, n > 0)
             self.head.clear()
 
-    def _final(self, key: tuple, n: int) -> Iterator[pd.DataFrame]:
-        """All rows of the call, some at a time; they leave the state."""
-        rows: list[dict] = []
-        for (turn,) in self.whole.get() if self.whole.exists() else ():
-            rows += json.loads(turn)
-            if len(rows) > self.AT_ONCE:
-                yield self._frame(key, rows, [n] * len(rows), "final")
-                rows = []
-        if rows:
-            yield self._frame(key, rows, [n] * len(rows), "final")
-        self.whole.clear()
-        self.recent.clear()
+    def _final(self, key: tuple, n: int, stored: bool, fresh: Sequence[str] = ()) -> Iterator[Row]:
+        """All turns of the call, those in the state and the fresh ones; they leave the state."""
+        for turn in chain((turn for turn, in self.whole.get()) if stored else (), fresh):
+            yield self.ROW(key[0], *json.loads(turn), n, n, "final")
+        if stored:
+            self.whole.clear()
+            self.recent.clear()
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    """Numbers of numpy as Python's own."""
-    return value.item()
+def _number(value: float | None) -> float | None:
+    return None if value is None or value != value else value
 
 
 def windows(turns: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.ActMarkers(),
@@ -215,12 +199,13 @@ def windows(turns: DataFrame, lexicon: Lexicon, markers: T.ActMarkers = T.ActMar
     turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spoken = utterances(turns.withWatermark("ts", delay), clean, lexicon.protected_stems() if clean else ())
     sig = batch.signal_rows(spoken, lexicon, markers, conjunctions, keep=("ts", "us", "closed", "n_chars", "body"))
-    kept = [f for f in sig.schema.fields if f.name not in ("call_id", "closed", "n_chars", "body", "ts")]
-    out = Ty.StructType([Ty.StructField("call_id", Ty.StringType()), *(Ty.StructField(f.name, f.dataType) for f in kept),
-                         Ty.StructField("upd", Ty.LongType()), Ty.StructField("kind", Ty.StringType())])
-    context = CallContext([(f.name, f.dataType.simpleString()) for f in kept], window, idle)
-    return sig.groupBy("call_id").transformWithStateInPandas(
-        statefulProcessor=context, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    kept = [f.name for f in sig.schema.fields if f.name not in ("call_id", "closed", "n_chars", "body", "ts")]
+    carried = Ty.StructType([f for f in sig.schema.fields if f.name in kept and f.name not in ("seq", "pos", "start", "end")])
+    heard = sig.withColumn("signal", F.to_json(F.struct(*carried.names))).select(*CallContext.INPUT).groupBy("call_id").transformWithState(
+        statefulProcessor=CallContext(window, idle), outputStructType=CallContext.OUTPUT, outputMode="Append", timeMode="EventTime")
+    rows = heard.withColumn("signals", F.transform("signals", lambda x: F.from_json(x, carried)))
+    rows = rows.withColumn("upd", F.explode(F.sequence("upd", "until"))).select("*", F.inline("signals"))
+    return rows.withColumn("pos", position(F.col("seq"), F.col("clause_ix"))).select("call_id", *kept, "upd", "kind")
 
 
 @contextmanager
@@ -299,6 +284,7 @@ class Monitor(StatefulProcessor):
 
     OUTPUT = ("call_id string, upd bigint, kind string, risk_score int, peak int, stage string, deepest_stage string, entered boolean, "
               "n_fresh int, tactics array<string>, scam_types array<string>, n_updates int, n_alerts int, alert_level string, triggered_by string")
+    ROW = Row(*(c.split(" ")[0] for c in OUTPUT.split(", ")))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState(
@@ -306,15 +292,29 @@ class Monitor(StatefulProcessor):
         self.seen = handle.getMapState("seen", "category string, sec bigint, quote string", "upd bigint")
         self.alerted = handle.getMapState("alerted", "category string", "upd bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         names = {d: s for s, d in vocab.STAGE_DEPTH.items()}
         levels = {r: name for name, r in vocab.ALERT_ORDER.items()}
-        peak, depth, highest, before, entered, n_updates, n_alerts, tactics, scams = (
-            self.held.get() if self.held.exists() else (0, 0, 0, "", -1, 0, 0, "[]", "[]"))
+        state = self.held.get()
+        peak, depth, highest, before, entered, n_updates, n_alerts, tactics, scams = state or (0, 0, 0, "", -1, 0, 0, "[]", "[]")
         tactics, scams = json.loads(tactics), json.loads(scams)
-        out, ended = [], False
-        for row in pd.concat(list(rows)).sort_values("upd").itertuples(index=False):
-            score, now = int(row.risk_score), vocab.STAGE_DEPTH.get(row.stage, 0)
+        # what is looked up in the state once, and what is new to it
+        known: dict[tuple, bool] = {}
+        seen: dict[tuple, int] = {}
+        alerted: dict[tuple, int] = {}
+        ended = False
+
+        def is_new(held, new: dict[tuple, int], entry: tuple, upd: int) -> bool:
+            if entry in known:
+                return False
+            known[entry] = True
+            if state and held.containsKey(entry):
+                return False
+            new[entry] = upd
+            return True
+
+        for row in sorted(rows, key=lambda row: row.upd):
+            score, now = row.risk_score, vocab.STAGE_DEPTH.get(row.stage, 0)
             peak, depth, n_updates = max(peak, score), max(depth, now), n_updates + 1
             # a stage is entered when it isn't that of the update before, nor one behind a stage entered earlier
             enters = row.stage != before and now >= entered
@@ -322,33 +322,31 @@ class Monitor(StatefulProcessor):
                 entered = max(entered, now)
             before = row.stage
             for labels, new in ((tactics, row.tactics), (scams, row.scam_types)):
-                labels += [x for x in ([] if new is None else new) if x not in labels]
+                labels += [x for x in new or [] if x not in labels]
             fresh, critical = 0, []
-            events = [] if row.events is None else list(row.events)
-            for e in sorted(events, key=lambda e: (e["sec"], e["category"])):
-                event = (e["category"], int(e["sec"]), e["quote"])
-                if self.seen.containsKey(event):
+            for e in sorted(row.events or [], key=lambda e: (e["sec"], e["category"])):
+                if not is_new(self.seen, seen, (e["category"], e["sec"], e["quote"]), row.upd):
                     continue
-                self.seen.updateValue(event, (int(row.upd),))
                 fresh += 1
                 harmful = e["category"] in vocab.HARMFUL and e["severity"] == "CRITICAL"
-                if harmful and not self.alerted.containsKey((e["category"],)):
-                    self.alerted.updateValue((e["category"],), (int(row.upd),))
+                if harmful and is_new(self.alerted, alerted, (e["category"],), row.upd):
                     critical.append(e["category"])
             rank = max((vocab.ALERT_ORDER[n] for n, at in vocab.ALERT_THRESHOLDS.items() if score >= at), default=0)
             alerts = [("CRITICAL", c) for c in critical] or [(levels[rank], "risk_score")] * (rank > highest)
             n_alerts += len(alerts)
             highest = vocab.ALERT_ORDER["CRITICAL"] if critical else max(highest, rank)
-            base = (key[0], int(row.upd), row.kind, score, peak, row.stage, names[depth], enters, fresh, list(tactics), list(scams), n_updates, n_alerts)
-            out += [(*base, *a) for a in alerts or [("NONE", "")]]
+            base = (key[0], row.upd, row.kind, score, peak, row.stage, names[depth], enters, fresh, list(tactics), list(scams), n_updates, n_alerts)
+            for alert in alerts or [("NONE", "")]:
+                yield self.ROW(*base, *alert)
             ended = row.kind == "final"
-        if ended:
-            for state in (self.held, self.seen, self.alerted):
-                state.clear()
-        else:
+        if not ended:
+            for held, new in ((self.seen, seen), (self.alerted, alerted)):
+                for entry, upd in new.items():
+                    held.updateValue(entry, (upd,))
             self.held.update((peak, depth, highest, before, entered, n_updates, n_alerts, json.dumps(tactics), json.dumps(scams)))
-        columns = [c.strip().split(" ")[0] for c in self.OUTPUT.split(",")]
-        yield pd.DataFrame(out, columns=columns).astype({c: "int32" for c in ("risk_score", "peak", "n_fresh", "n_updates", "n_alerts")})
+        elif state:
+            for held in (self.held, self.seen, self.alerted):
+                held.clear()
 
     def close(self) -> None:
         pass
@@ -357,7 +355,7 @@ class Monitor(StatefulProcessor):
 def monitor(updates: DataFrame) -> DataFrame:
     """Stream of scored updates -> stream of live frames with held state."""
     updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return updates.groupBy("call_id").transformWithStateInPandas(
+    return updates.drop("ts").groupBy("call_id").transformWithState(
         statefulProcessor=Monitor(), outputStructType=Monitor.OUTPUT, outputMode="Append", timeMode="None")
 
 

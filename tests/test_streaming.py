@@ -1,5 +1,8 @@
 """Streams against the batch replay of the same calls."""
 
+import json
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from callward.functions.text import ActMarkers
@@ -141,3 +144,68 @@ def test_tumbling_slices(spark, tmp_path):
     run.awaitTermination()
     total = spark.table("slices").agg(F.sum("n")).first()[0]
     assert 0 < total <= sum(len(t) for _, t in USED.values())
+
+
+class _Held:
+    """Stands for value, list and map states and the timers; counts what is asked."""
+
+    def __init__(self):
+        self.value, self.items, self.timers, self.asked = None, [], [], 0
+
+    def getValueState(self, name, *schema):
+        return _Held()
+
+    getListState = getMapState = getValueState
+
+    def get(self):
+        return list(self.items) or self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, items):
+        self.items += items
+
+    def clear(self):
+        self.value, self.items = None, []
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in dict(self.items)
+
+    def updateValue(self, key, value):
+        self.items.append((key, value))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_turn_leaves_the_state_operator_once():
+    """A row per turn and micro-batch with its range of windows, not one per window; the call has one timer."""
+    context, handle = stream.CallContext(window=3, idle=60), _Held()
+    context.init(handle)
+    clause = lambda k, ix: SimpleNamespace(
+        seq=k, clause_ix=ix, start=None, end=None, us=k * 1_000_000, closed=False, n_chars=10, body=k, signal=json.dumps([k, ix]))
+    said = lambda turns: [clause(k, ix) for k in turns for ix in (1, 0)]
+    place = lambda rows: [(r.seq, r.upd, r.until, r.kind, len(r.signals)) for r in rows]
+    first = list(context.handleInputRows(("c",), iter(said(range(5))), None))
+    assert place(first) == [(k, k, min(k + 2, 4), "update", 2) for k in range(5)]
+    assert [json.loads(x) for x in first[0].signals] == [[0, 0], [0, 1]]
+    second = list(context.handleInputRows(("c",), iter(said([1, 5])), None))
+    assert place(second) == [(1, -1, -1, "late", 2), (3, 5, 5, "update", 2), (4, 5, 5, "update", 2), (5, 5, 5, "update", 2)]
+    assert handle.timers == [65_000]
+    assert place(context.handleExpiredTimer(("c",), None, None)) == [(k, 6, 6, "final", 2) for k in range(6)]
+    assert context.whole.get() is None and context.recent.get() is None and context.head.get() is None
+
+
+def test_monitor_asks_the_state_once_for_an_event():
+    monitor = stream.Monitor()
+    monitor.init(_Held())
+    event = {"category": "OTP_REQUEST", "sec": 9, "severity": "CRITICAL", "quote": "q"}
+    update = lambda n: SimpleNamespace(
+        upd=n, kind="update", risk_score=80, stage="UNKNOWN", tactics=None, scam_types=[], events=[event, event])
+    fresh = [r.n_fresh for n in (0, 50) for r in monitor.handleInputRows(("c",), iter([update(n + k) for k in (2, 0, 1)]), None)]
+    assert fresh == [1, 0, 0, 0, 0, 0] and monitor.seen.asked == 1
