@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callward.llm import decontaminate, lines, minhash, packing, passages, quality, tokens, toxicity
+from callward.operators import cut
 
 SMALL = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, kept string, score string, n int, comp int, h string"
@@ -280,6 +282,36 @@ def test_passages_behind_a_frequent_line_are_found(spark, monkeypatch, block):
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["passage_of"]) for r in out} == want
 
 
+def test_passages_leave_only_their_result_on_disk(spark):
+    """Shuffle files and the tables between the steps are gone when the operator returns."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    line, shared, rows = fresh(38), fresh(60), []
+    for k in range(20):
+        rows.append((k, " ".join(fresh(30) + line + fresh(40 + k) + (shared if k % 2 else []) + fresh(20))))
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    tables, kept = set(root.iterdir()), shuffles()
+    out = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert len(shuffles() - kept) <= 1  # of a question that needs no table
+    left = {p.name.split("-")[0] for p in set(root.iterdir()) - tables if any(p.rglob("*.parquet"))}
+    assert not left & {"meetings", "texts", "candidates", "contexts", "pairs", "members", "mixed", "asked"}
+    assert {r["doc_id"] for r in out.collect()} == set(range(1, 20, 2))
+    assert spark.conf.get(cut.CLEANED, None) in (None, "false")
+
+
+def test_of_the_first_text_only_the_stretch_travels(spark):
+    """Intervals at both ends and in the middle of long texts, several pairs of one document."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two, three = fresh(55), fresh(70), fresh(50)
+    rows = [(1, one + fresh(900) + two + fresh(700) + three), (2, fresh(400) + one), (3, two + fresh(10)), (4, fresh(3) + three + fresh(500)), (5, fresh(80) + two + three)]
+    out = passages.repeated(spark.createDataFrame([(i, " \t".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    want = {(1, 0, 55, 1), (1, 955, 1025, 1), (1, 1725, 1775, 1), (2, 400, 455, 1), (3, 0, 70, 1), (4, 3, 53, 1), (5, 80, 200, 1)}
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["passage_of"]) for r in out} == want
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
