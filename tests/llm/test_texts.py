@@ -312,6 +312,43 @@ def test_of_the_first_text_only_the_stretch_travels(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["passage_of"]) for r in out} == want
 
 
+def test_intervals_compared_together_give_what_each_gives():
+    """Repetitive, edited and unlike texts in one step, as parts of texts and alone."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    table = np.zeros(1 << passages.SLOTS, np.int32)
+    calls, want = [], []
+    for k in range(120):
+        base = fresh(200) if k % 3 else rng.choice(fresh(k // 3 + 1), 200)
+        other = base.copy()
+        other[rng.integers(0, 200, k % 12)] = fresh(k % 12)
+        a, b = np.concatenate((fresh(k), base, fresh(9))), np.concatenate((other[:90], fresh(k % 7), other[90:], base[:k]))
+        both = passages.Pair(passages.Text(a), passages.Text(b), table)
+        for p, q, s, e in ((0, len(a), 0, len(b)), (k, k + 130, 20, 160)):
+            calls.append(both.call(p, q, s, e, p - s))
+            want.append(passages.best_stretches(a[p:q], b[s:e], 46, d=p - s))
+            for a0, a1, b0, b1 in want[-1]:
+                one, two = set(a[p:q][a0:a1].tolist()), set(b[s:e][b0:b1].tolist())
+                assert a1 - a0 >= 46 and b1 - b0 >= 46 and len(one & two) >= 0.75 * len(one | two)
+    got = passages._stretches(calls, 46)
+    assert [sorted(x) for x in got] == [sorted(x) for x in want]
+    assert sum(map(len, got)) > 150
+
+
+def test_texts_travel_once_to_the_pairs_of_a_family(spark):
+    """All pairs of 60 documents meet 60 texts; a family that is larger than a cell is cut into cells, and no pair is lost."""
+    def dealt(n):
+        pairs = spark.createDataFrame([(i, j) for i in range(n) for j in range(i + 1, n)], "a long, b long") \
+            .withColumn("spans", F.expr("array(named_struct('d', 0, 's', 0, 'e', 60, 'ms', array(30)))"))
+        return [(r["cell"], r["a"], r["b"]) for r in passages._dealt(pairs).collect()]
+
+    texts = lambda rows: len({(c, x) for c, *ends in rows for x in ends})
+    few, many = dealt(60), dealt(200)
+    assert len(few) == 60 * 59 // 2 and texts(few) == 60
+    assert len({x[1:] for x in many}) == 200 * 199 // 2 and texts(many) <= 2 * 4 * 200
+    assert max(collections.Counter(c for c, *_ in many).values()) < 2 * passages.CELL**2
+
+
 def test_compact_windows_cover_every_stretch_once():
     h = np.random.default_rng(1).integers(0, 6, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     left, centre, right, _ = passages.compact_windows(h, 0, 5)
