@@ -335,6 +335,20 @@ def test_intervals_compared_together_give_what_each_gives():
     assert sum(map(len, got)) > 150
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_shingles_in_common_are_counted_exactly(monkeypatch, block):
+    """Also without the hashes that a single set has, where each set is among the others, and with the same table again."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 1 << 16, rng.integers(0, 50)).astype(np.uint16)) for k in range(30)]
+    raw, column = [x.tobytes() for x in sets], np.full(1 << 16, -1)
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (passages._near(raw[:9], raw[9:], column, 1) == want[:9, 9:]).all()
+    twice = passages._near(raw[:9], raw, column, 2)
+    apart = np.arange(9)[:, None] != np.arange(30)
+    assert (twice[apart] == want[:9][apart]).all() and (column == -1).all()
+
+
 def test_texts_travel_once_to_the_pairs_of_a_family(spark):
     """All pairs of 60 documents meet 60 texts; a family that is larger than a cell is cut into cells, and no pair is lost."""
     def dealt(n):
